@@ -82,7 +82,7 @@ def _op10_sql() -> str:
     'stop': list_sum(list_transform(b[1:i], lambda x: length(x))) + list_sum(list_transform(w[1:i], lambda x: length(x))), 'value': v[i]}})) AS s
   FROM (SELECT rid, regexp_extract_all(t, '{p}') AS w, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS b FROM d WHERE regexp_matches(t, '{p}'))) WHERE {keep.replace("value", "s.value")}"""
 
-    base = " UNION ALL ".join([spans(secrets.ASSIGN, 0, 2, "length(value) >= 6"), spans(secrets.ACCESS, 1, 0, "length(value) >= 20"), spans(secrets.HEX, 2, 0, "length(value) >= 24")])
+    base = " UNION ALL ".join([spans(secrets.ASSIGN, 0, 2, "length(value) >= 6"), spans(secrets.ACCESS_LONG, 1, 0, "true"), spans(secrets.HEX_LONG, 2, 0, "true")])
     more = spans(secrets.OWNED_LONG, 3, 0, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')")
     name = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END || ':' || start::BIGINT || ':' || stop::BIGINT"
     return f"""
