@@ -63,7 +63,7 @@ class Coder:
                 self.token.append(a + b)
                 self.parts.append(pair)
             self.merged.setdefault(pair, rank[a + b])
-        self.id_of = np.array([ids[t] for t in self.token], np.uint32)
+        self.id_of = [ids[t] for t in self.token]
         self.length = [len(t) for t in self.token]
         self.pairs: dict[int, bool] = {}
         self.shorter = [-1] * len(self.token)
@@ -88,7 +88,7 @@ class Coder:
         self.piece = regex.compile(PIECE)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         # a special token comes as a one-tuple, which no piece of text can be
-        self.memory = PieceMemory(lambda new: (np.array([self.special[p[0]]], np.uint32) if isinstance(p, tuple) else self.encode_piece(p) for p in new))
+        self.memory = PieceMemory(lambda new: ([self.special[p[0]]] if isinstance(p, tuple) else self.encode_piece(p) for p in new))
 
     def compatible(self, a: int, b: int, below: int | None = None) -> bool:
         """Would merging leave a and b as neighbours? Undo the later merge of the two again and again, and see whether the parts at the border would have merged earlier."""
@@ -116,7 +116,7 @@ class Coder:
             else:
                 limit, b = b + 1, left[0]
 
-    def encode_piece(self, text: str) -> np.ndarray:
+    def encode_piece(self, text: str) -> list[int]:
         raw = text.encode()
         n = len(raw)
         longest = [-1] * n
@@ -144,7 +144,7 @@ class Coder:
                     token = out.pop()
                     at -= length[token]
                     break
-        return self.id_of[out]
+        return [self.id_of[i] for i in out]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the number of each text."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -26,7 +27,7 @@ class PieceMemory:
         self.count = np.zeros(1 << 14, np.int32)
 
     def _learn(self, new: list) -> None:
-        got = [np.asarray(x, np.uint32) for x in self.encode(new)]
+        got = list(self.encode(new))
         counts = np.fromiter(map(len, got), np.int32, len(got))
         n, total = len(self.place), int(counts.sum())
         while self.used + total > len(self.ids):
@@ -35,7 +36,7 @@ class PieceMemory:
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
         if total:
-            self.ids[self.used : self.used + total] = np.concatenate(got)
+            self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, total)
         self.start[n : n + len(new)] = self.used + spans_of(counts)[:-1]
         self.count[n : n + len(new)] = counts
         self.used += total

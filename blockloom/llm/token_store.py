@@ -60,16 +60,52 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
 
 
+def library_encoder(path: str):
+    """A function from pieces of text to their ids by the tokenizers library.
+
+    A piece of letters, or of letters and one final mark, is encoded once for its letters. Letters are
+    encoded in runs joined by spaces; in a run every word's last token is an end-of-word token, which
+    gives the borders back. A run whose borders don't add up, and every other piece, is encoded piece by piece.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    suffix = getattr(t.model, "end_of_word_suffix", None)
+    last = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
+    if suffix:
+        last[[i for w, i in t.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
+    one = lambda new: [x.ids for x in t.encode_batch_fast(new, add_special_tokens=False)]
+    marks = {m: one([m])[0] for m in ".,"}
+
+    def encode(new: list[bytes]) -> list:
+        if not suffix:
+            return one([b.decode() for b in new])
+        text = b" ".join(new).decode().split(" ")
+        bare = [s[:-1] if s[-1] in marks else s for s in text]
+        own = [b if b.isalpha() else s for b, s in zip(bare, text)]
+        stems: dict[str, list] = dict.fromkeys(own)
+        plain = [w for w in stems if w.isalpha()]
+        for i in range(0, len(plain), 256):
+            run = plain[i : i + 256]
+            ids = t.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids
+            cut = np.flatnonzero(last[ids]) + 1
+            if len(cut) == len(run):
+                cut = cut.tolist()
+                stems.update(zip(run, [ids[x:y] for x, y in zip([0, *cut], cut)]))
+        rest = [w for w, ids in stems.items() if ids is None]
+        stems.update(zip(rest, one(rest)))
+        return [stems[w] if w is s else stems[w] + marks[s[-1]] for w, s in zip(own, text)]
+
+    return encode
+
+
 def _memory(path: str) -> PieceMemory:
     """The library's encodings of pieces between ASCII white space. The tokenizer's rules never join across white space, so pieces give the ids of the whole text."""
     if path not in _memories:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _memories[path] = PieceMemory(lambda new: (x.ids for x in t.encode_batch_fast([b.decode() for b in new], add_special_tokens=False)))
+        _memories[path] = PieceMemory(library_encoder(path), 800_000)
     return _memories[path]
 
 
@@ -81,7 +117,8 @@ def vocabulary_of(path: str) -> int:
 
 def encode_texts(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and the number of each text."""
-    words = [t.split() for t in texts]
+    # lower case is the tokenizer's own first step; a special token's string must keep its letters
+    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
     per = np.fromiter(map(len, words), np.int64, len(words))
     return _memory(path).flat([w for ws in words for w in ws], per)
 
