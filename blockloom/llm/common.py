@@ -1,13 +1,14 @@
 """Helpers that the operators share: shared scratch tables, ids, Arrow batches.
 
-Identity rule for every operator here: ``doc_id`` names a document. A null id is
-kept and ordered after all others; rows that repeat an id with the same text are
-repeated rows and get equal results.
+Identity rule for every operator here: ``doc_id`` names a document. Documents without an id are
+kept and ordered after all others, among themselves by a hash of the text. Rows that repeat an id
+with the same text are repeated rows and get equal results.
 """
 
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,11 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Stands for a null id inside the operators, so that it sorts last.
-NULL_ID = (1 << 63) - 1
+#: Ids from here on stand for null ids inside the operators, so that these sort last.
+NULL_IDS = (1 << 63) - (1 << 40)
 #: Text bytes that one numpy step works on.
 CHUNK_BYTES = 4 << 20
 
+#: Up to so many 8-byte ids are broadcast (16 MB at most); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
 _own_dir: dict[str, str] = {}
 
 
@@ -54,6 +58,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them once their plans are collected as garbage, which a driver with a large heap may not do for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_arrow(spark: SparkSession, records: int = 4000) -> None:
     """Keep the Arrow batches that go to Python workers small, whatever the length of a text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
@@ -64,13 +74,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def id_or_stand_in(id_col: str, text_col: str) -> Column:
+    """The id, or for a null one a number of its own by the text."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.pmod(F.xxhash64(text), F.lit(1 << 40)) + F.lit(NULL_IDS))
+
+
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id not null, text not null), whatever other columns there are."""
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return df.select(id_or_stand_in(id_col, text_col).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
 def real_id(name: str = "doc_id") -> Column:
-    return F.when(F.col(name) != NULL_ID, F.col(name)).alias(name)
+    return F.when(F.col(name) < NULL_IDS, F.col(name)).alias(name)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,3 +127,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of every piece, one piece after the other."""
     at = spans_of(lengths)
     return np.arange(at[-1], dtype=np.int64) + np.repeat(starts - at[:-1], lengths)
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Broadcast ids only where they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows

@@ -6,8 +6,7 @@ sends one row per task), held against the index by a sort-merge anti-join that d
 not shuffle the index, and what is new is appended to it.
 
 Null text counts as empty. Texts are equal if they are after each ``[\\x20\\x09-\\x0D]+``
-became one space. The smallest id of a digest stays; null ids come last (two rows with a null
-id and one text: one of them stays). An empty batch gives no rows and appends nothing.
+became one space. The smallest id of a digest stays; null ids come last. An empty batch gives no rows and appends nothing.
 Repeated rows (same id and text) are all reported, and all of them count in group_size.
 """
 
@@ -17,7 +16,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import NULL_ID, keyed, materialize, real_id
+from .common import id_or_stand_in, keyed, materialize, real_id
 
 BUCKETS = 64
 
@@ -63,6 +62,12 @@ class DigestIndex:
 
 
 def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``dedup_keyed``, with null ids as null again."""
+    out = dedup_keyed(docs, index, id_col, text_col)
+    return out.select(real_id(), real_id("keep_id"), "group_size", "kept", "text_sha256")
+
+
+def dedup_keyed(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     With an index of earlier batches, a document is kept only if its digest is new;
@@ -79,8 +84,8 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
     # both sides are plain shuffles of written tables: AQE can split the rows of a hot digest
     out = own.hint("merge").join(of, "text_sha256")
     return out.select(
-        real_id(),
-        real_id("keep_id"),
+        "doc_id",
+        "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
         ((F.col("doc_id") == F.col("keep_id")) & (F.col("keep_id") == F.col("first_id"))).alias("kept"),
         "text_sha256",
@@ -89,8 +94,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows that stay, one."""
-    own = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    kept = dedup(docs, None, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    text = normalized(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    own = own.withColumn("__sha", F.sha2(text.cast("binary"), 256))
+    kept = dedup_keyed(docs, None, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    text = normalized(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    own = docs.withColumn("__id", id_or_stand_in(id_col, text_col)).withColumn("__sha", F.sha2(text.cast("binary"), 256))
     return own.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])

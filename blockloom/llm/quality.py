@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import rolling
-from .common import bounded_arrow, keyed, materialize, pieces, real_id
+from .common import bounded_arrow, few, id_or_stand_in, keyed, materialize, pieces, real_id, text_bytes
 
 SAMPLE = 6000
 BUCKETS = 4096
@@ -178,8 +178,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     own = keyed(docs, id_col, text_col)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import text_bytes
-
         for b in pieces(batches, 2 << 20):
             found, n = np.unique(pattern_of(votes(*text_bytes(b.column("text")))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["pattern", "n"])
@@ -194,8 +192,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     part = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(deal)) < int(min(deal, deal * sample / count.sum())))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import text_bytes
-
         for b in pieces(batches, 2 << 20):
             raw, at = text_bytes(b.column("text"))
             v = votes(raw, at)
@@ -219,11 +215,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
 def classify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_low (labellers that say low), posterior, score, keep of every row."""
+    out = _classify(docs, sample, id_col, text_col, threshold)
+    return out.select(real_id(), *out.columns[1:])
+
+
+def _classify(docs: DataFrame, sample: int, id_col: str, text_col: str, threshold: float) -> DataFrame:
     model, scorer = fit(docs, sample, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import text_bytes
-
         for b in pieces(batches, 2 << 20):
             raw, at = text_bytes(b.column("text"))
             v = votes(raw, at)
@@ -232,15 +231,11 @@ def classify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
             score[(v < 0).all(axis=1)] = 0.0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((v == 1).sum(axis=1)), pa.array(posterior.round(6)), pa.array(score.round(6)), pa.array(score < threshold)], names=["doc_id", "n_low", "posterior", "score", "keep"])
 
-    out = keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_low long, posterior double, score double, keep boolean")
-    return out.select(real_id(), "n_low", "posterior", "score", "keep")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_low long, posterior double, score double, keep boolean")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_good(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier keeps."""
-    from .common import NULL_ID
-    from .simhash import _few
-
-    low = classify(docs, id_col=id_col, text_col=text_col, **how).where("not keep").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__low")).distinct()
+    low = _classify(docs, sample, id_col, text_col, threshold).where("not keep").select(F.col("doc_id").alias("__low")).distinct()
     low = materialize(low, "low-quality")
-    return docs.join(_few(low), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)) == F.col("__low"), "left_anti")
+    return docs.join(few(low), id_or_stand_in(id_col, text_col) == F.col("__low"), "left_anti")

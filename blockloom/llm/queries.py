@@ -7,7 +7,7 @@ import importlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, exact_dedup, quality, secrets, simhash, token_store, url_filter
+from . import bpe, decontam, exact_dedup, quality, secrets, simhash, substring, suffix_dedup, token_store, url_filter
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,6 +45,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_copies(documents(spark, sf_dir))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -50,10 +58,12 @@ def queries() -> dict:
         "op1_token_store": op1_token_store,
         "op2_simhash": op2_simhash,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_bpe": op5_bpe,
         "op6_decontamination": op6_decontamination,
         "op7_url_filter": op7_url_filter,
         "op8_quality": op8_quality,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_secrets": op10_secrets,
         "pipeline": lambda spark, sf_dir: importlib.import_module("corpus_pipeline").run(spark, sf_dir),
     }

@@ -36,15 +36,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import NULL_ID, bounded_arrow, keyed, materialize, pieces, real_id
+from .common import bounded_arrow, few, id_or_stand_in, keyed, materialize, pieces, real_id
 
 TILE = 4096
 SUB_TILE = 512
 SEED = 42
 RADIUS = 20
 TILE_BYTES = 16 << 20
-#: Up to so many 8-byte ids are broadcast (16 MB at most); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -248,11 +246,6 @@ def _in_tiles(rows: DataFrame, similarity: float, bytes_each: float) -> DataFram
     return rows.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """Broadcast ids only where they are counted to be few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of documents that are linked to another; components are named by their smallest id."""
     spark = docs.sparkSession
@@ -286,7 +279,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius
                 names=["node", "fp", "n", "names"],
             )
 
-    texts = keyed(docs, id_col, text_col).join(_few(found.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    texts = keyed(docs, id_col, text_col).join(few(found.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     bounded_arrow(spark)
     full = materialize(texts.mapInArrow(sets, "node long, fp long, n long, names binary").where("n > 0").withColumn("band", _bands(similarity)), "shingle-sets")
 
@@ -319,5 +312,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs without those that have a near duplicate with a smaller id in their group."""
     gone = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, **how).select(F.col("node").alias("__gone")), "near-gone")
-    ids = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    return docs.join(_few(gone), ids == F.col("__gone"), "left_anti")
+    return docs.join(few(gone), id_or_stand_in(id_col, text_col) == F.col("__gone"), "left_anti")
