@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import HandlerError
+from ..shipping import ship
 
 # The handler contract.
 ABI_VERSION = 1
@@ -125,6 +126,7 @@ def run_pure(inputs: DataFrame, registry: Registry, name: str, seq: int = 0) ->
                 out += [(height, tx, log, seq, i, *op) for i, op in enumerate(ctx.operations)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OPERATIONS.split(", ")])
 
+    ship(inputs.sparkSession)
     return inputs.select(*ORDER, "payload").mapInPandas(run, OPERATIONS)
 
 
@@ -138,6 +140,7 @@ def run_folds(inputs: DataFrame, key: str, start: Callable[[], dict], step: Call
             out.append((row.height, row.tx_index, row.log_index, 0, 0, "Set", entity, str(getattr(row, key)), json.dumps(state, sort_keys=True, separators=(",", ":"))))
         return pd.DataFrame(out, columns=[c.split()[0] for c in OPERATIONS.split(", ")])
 
+    ship(inputs.sparkSession)
     return inputs.select(key, *ORDER, "payload").groupBy(key).applyInPandas(run, OPERATIONS)
 
 
