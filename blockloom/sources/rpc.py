@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..errors import BlockUnavailable, ChainError, DecodeError, RateLimited, RpcFatal, TransportError, WrongNetwork
 from ..operators.planning import next_batch, safe_head
+from ..shipping import ship
 from .project import check_endpoint, redact
 
 HEADER = "height long, hash string, parent_hash string, timestamp timestamp"
@@ -261,3 +262,10 @@ class BlockSource(DataSource):
 
     def streamReader(self, schema):  # noqa: N802
         return BlockStreamReader(dict(self.options))
+
+
+def register(spark) -> None:
+    """Make the format known; bounds on height reach the node as the heights to fetch."""
+    ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BlockSource)
