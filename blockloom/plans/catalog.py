@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,8 +36,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 # --- the topics and addresses that the filters below ask for
-import hashlib  # noqa: E402
-
 _md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
 PURCHASE, ERROR, CLICK = ("0x" + _md5(x) * 2 for x in ("purchase", "error", "click"))
 USER7 = "0xaB" + "7".rjust(38, "0")

@@ -105,7 +105,7 @@ def test_every_arrival_order_releases_alike(spark):
     for n in (0, 7, 13, 23):
         own = spark.createDataFrame([r[1:] for r in rows if r[0] == n], "arrival_pos long, generation long, height long")
         got = [tuple(r) for r in ordered.release_order(own, 100, 1).orderBy("height").collect()]
-        seen = {h: p for _, p, _, h in rows if False} or {r[3]: r[1] for r in rows if r[0] == n}
+        seen = {r[3]: r[1] for r in rows if r[0] == n}
         assert got == [(h, max(seen[x] for x in range(100, h + 1))) for h in range(100, 104)]
 
 
