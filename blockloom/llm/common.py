@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
+
 #: Ids from here on stand for null ids inside the operators, so that these sort last.
 NULL_IDS = (1 << 63) - (1 << 40)
 #: Text bytes that one numpy step works on.
@@ -60,12 +63,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps: Spark deletes them once their plans are collected as garbage, which a driver with a large heap may not do for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # events of the finished step may hold its plan a moment longer
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def bounded_arrow(spark: SparkSession, records: int = 4000) -> None:
-    """Keep the Arrow batches that go to Python workers small, whatever the length of a text."""
+    """Before Python steps: the executors have this package, and the Arrow batches that go to the workers are small, whatever the length of a text."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", CHUNK_BYTES)
 

@@ -26,6 +26,7 @@ from .common import bounded_arrow, few, id_or_stand_in, keyed, materialize, piec
 
 SAMPLE = 6000
 BUCKETS = 4096
+PIECE_BYTES = 1 << 19
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "torn", "capitals", "separators", "stutter", "poor")
 LEAST_WORDS = 8
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     own = keyed(docs, id_col, text_col)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2 << 20):
+        for b in pieces(batches, PIECE_BYTES):
             found, n = np.unique(pattern_of(votes(*text_bytes(b.column("text")))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["pattern", "n"])
 
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     part = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(deal)) < int(min(deal, deal * sample / count.sum())))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2 << 20):
+        for b in pieces(batches, PIECE_BYTES):
             raw, at = text_bytes(b.column("text"))
             v = votes(raw, at)
             text, place, value = features(raw, at, v)
@@ -223,7 +224,7 @@ def _classify(docs: DataFrame, sample: int, id_col: str, text_col: str, threshol
     model, scorer = fit(docs, sample, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2 << 20):
+        for b in pieces(batches, PIECE_BYTES):
             raw, at = text_bytes(b.column("text"))
             v = votes(raw, at)
             posterior = model.posterior(v)

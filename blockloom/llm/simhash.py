@@ -14,11 +14,12 @@ radius are skipped, for such fingerprints cannot be within it. Which tiles meet:
   chunks, and chunks meet in pairs as separate groups. Of a group's links only a spanning forest
   leaves the task, so n copies give n links at most. Nothing is lost, whatever the skew.
 * ``near_duplicates`` (shingles of 5 words, similarity 0.8). At this similarity fingerprints differ in
-  10 bits on average, so no blocks agree for sure. Tiles are bands of the number of distinct shingles: at
-  similarity s sizes differ by a factor of 1/s at most, so a band meets itself and the next. Documents
-  with any fingerprint within RADIUS bits are candidates; for them the shingle sets go to
-  the tiles too, and a link needs a true Jaccard similarity of s. RADIUS = 20 keeps all but
-  about 0.0003 of pairs at exactly 0.8, fewer above.
+  15% of the bits, so no blocks agree for sure. Tiles are bands of the number of distinct shingles: at
+  similarity s sizes differ by a factor of 1/s at most, so a band meets itself and the next. The fingerprint
+  has 128 bits here (the second half from the same hashes, mixed). Documents with any fingerprint within
+  WIDE_RADIUS bits are candidates; for them the shingle sets go to the tiles too, and a link needs a
+  true Jaccard similarity of s. The radius keeps all but about 0.0005 of pairs at exactly 0.8, fewer
+  above, and lets one in fifty million pairs of unlike texts through. Comparisons are quadratic within a band.
 
 Fingerprints equal to another's are compared once (the smallest id stands for them), null
 texts count as empty, null ids come last, repeated rows get equal results. Empty tables give no rows.
@@ -36,12 +37,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_arrow, few, id_or_stand_in, keyed, materialize, pieces, real_id
+from .common import bounded_arrow, few, id_or_stand_in, keyed, materialize, pieces, real_id, release
+from .rolling import mix
 
 TILE = 4096
 SUB_TILE = 512
 SEED = 42
-RADIUS = 20
+WIDE_RADIUS = 33
 TILE_BYTES = 16 << 20
 
 
@@ -64,38 +66,51 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (not null), fp (the 64 bits as a signed long), n (distinct shingles)."""
+def _signed(fps: list[int]) -> pa.Array:
+    return pa.array(np.array(fps, np.uint64).view(np.int64))
+
+
+def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """doc_id (not null), fp (the 64 bits as a signed long) and, if wide, fp2 (64 more) and n (distinct shingles)."""
     bounded_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            fps, n = [], []
+            fps, more, n = [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 h = shingle_hashes(t, k)
                 fps.append(fingerprint(h))
-                n.append(len(np.unique(h)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(n, pa.int64())], names=["doc_id", "fp", "n"])
+                if wide:
+                    more.append(fingerprint(mix(h)))
+                    n.append(len(np.unique(h)))
+            columns, names = [b.column("doc_id"), _signed(fps)], ["doc_id", "fp"]
+            if wide:
+                columns, names = [*columns, _signed(more), pa.array(n, pa.int64())], [*names, "fp2", "n"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, n long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long" + (", fp2 long, n long" if wide else ""))
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a and b (of a with itself: i < j in sorted order, given b None) within the radius, sub-tile by sub-tile."""
+def tile_links(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a and b within the radius, sub-tile by sub-tile; of a with itself, each pair once, given b None. a, b: the 64-bit parts of the fingerprints."""
     same = b is None
-    ca = np.bitwise_count(a)
+    count = lambda parts: sum(np.bitwise_count(p).astype(np.int64) for p in parts)
+    ca = count(a)
     oa = np.argsort(ca, kind="stable")
-    ob, cb = (oa, ca) if same else (np.argsort(np.bitwise_count(b), kind="stable"), np.bitwise_count(b))
-    sa, sb = a[oa], a[oa] if same else b[ob]
-    pa_, pb = ca[oa].astype(np.int64), cb[ob].astype(np.int64)
-    for i in range(0, len(sa), SUB_TILE):
-        x = sa[i : i + SUB_TILE, None]
-        low, high = pa_[i] - radius, pa_[min(i + SUB_TILE, len(sa)) - 1] + radius
-        j0 = max(int(np.searchsorted(pb, low)), i if same else 0)
-        j1 = int(np.searchsorted(pb, high, side="right"))
+    ob, cb = (oa, ca) if same else (np.argsort(count(b), kind="stable"), count(b))
+    sa, sb = [p[oa] for p in a], [p[ob] for p in (a if same else b)]
+    ca, cb = ca[oa], cb[ob]
+    for i in range(0, len(oa), SUB_TILE):
+        end = min(i + SUB_TILE, len(oa))
+        # beyond these bit counts no fingerprint can be within the radius
+        j0 = max(int(np.searchsorted(cb, ca[i] - radius)), i if same else 0)
+        j1 = int(np.searchsorted(cb, ca[end - 1] + radius, side="right"))
         for j in range(j0, j1, SUB_TILE):
-            y = sb[None, j : min(j + SUB_TILE, j1)]
-            r, c = np.nonzero(np.bitwise_count(x ^ y) <= radius)
+            stop = min(j + SUB_TILE, j1)
+            apart = np.bitwise_count(sa[0][i:end, None] ^ sb[0][None, j:stop])
+            for x, y in zip(sa[1:], sb[1:]):
+                apart += np.bitwise_count(x[i:end, None] ^ y[None, j:stop])
+            r, c = np.nonzero(apart <= radius)
             r, c = r + i, c + j
             if same:
                 r, c = r[r < c], c[r < c]
@@ -168,14 +183,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = tuple(now)
 
 
+def _parts(table: pa.Table) -> list[np.ndarray]:
+    return [table.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2") if c in table.column_names]
+
+
 def _forest(table: pa.Table, radius: int, verify: Callable[[int, int], bool] | None = None) -> pa.RecordBatch:
     """Spanning links of one group: rows of side 0 against side 1, or among themselves where there is one side."""
     node = table.column("node").to_numpy()
-    fp = table.column("fp").to_numpy().view(np.uint64)
+    parts = _parts(table)
     side = table.column("side").to_numpy()
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     forest, out = Forest(len(node)), []
-    for r, c in tile_links(fp[first], fp[second] if len(second) else None, radius):
+    for r, c in tile_links([p[first] for p in parts], [p[second] for p in parts] if len(second) else None, radius):
         r, c = first[r], (second if len(second) else first)[c]
         for i, j in zip(r.tolist(), c.tolist()):
             if forest.root(i) != forest.root(j) and (verify is None or verify(i, j)):
@@ -246,21 +265,25 @@ def _in_tiles(rows: DataFrame, similarity: float, bytes_each: float) -> DataFram
     return rows.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component) of documents that are linked to another; components are named by their smallest id."""
+def _one_tile(t: pa.Table) -> bool:
+    """Is the group a tile that meets itself?"""
+    return t.column("g")[0].as_py() % 2 == 0 and t.column("p")[0].as_py() == t.column("q")[0].as_py()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, component) of documents that are linked to one with a smaller id; component is the smallest id of the group."""
     spark = docs.sparkSession
-    own = materialize(fingerprints(docs, k, id_col, text_col).where("n > 0").select(F.col("doc_id").alias("node"), "fp", "n").withColumn("band", _bands(similarity)), "sketches")
+    own = fingerprints(docs, k, id_col, text_col, wide=True).where("n > 0").select(F.col("doc_id").alias("node"), "fp", "fp2", "n").withColumn("band", _bands(similarity))
+    own = materialize(own, "sketches")
     bounded_arrow(spark, 16000)
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(t: pa.Table) -> pa.RecordBatch:
-            node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
-            fp, side = t.column("fp").to_numpy().view(np.uint64), t.column("side").to_numpy()
+            node, n, parts, side = t.column("node").to_numpy(), t.column("n").to_numpy(), _parts(t), t.column("side").to_numpy()
             first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            hit = np.zeros(len(node), bool)
-            same = (t.column("g")[0].as_py() % 2 == 0) and t.column("p")[0].as_py() == t.column("q")[0].as_py()
+            hit, same = np.zeros(len(node), bool), _one_tile(t)
             if same or len(first) and len(second):
-                for r, c in tile_links(fp[first], None if same else fp[second], radius):
+                for r, c in tile_links([p[first] for p in parts], None if same else [p[second] for p in parts], radius):
                     r, c = first[r], (first if same else second)[c]
                     near = np.minimum(n[r], n[c]) >= similarity * np.maximum(n[r], n[c])
                     hit[r[near]] = hit[c[near]] = True
@@ -268,44 +291,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius
 
         yield from _by_group(batches, ["g", "p", "q"], work)
 
-    found = materialize(_in_tiles(own, similarity, 0).select("node", "fp", "n", "g", "p", "q", "side").mapInArrow(seek, "node long").distinct(), "candidates")
+    found = materialize(_in_tiles(own, similarity, 0).select("node", "fp", "fp2", "n", "g", "p", "q", "side").mapInArrow(seek, "node long").distinct(), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            hs = [shingle_hashes(t, k) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            names = [np.unique(h).astype("<u8") for h in hs]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.array([fingerprint(h) for h in hs], np.uint64).view(np.int64)), pa.array([len(x) for x in names], pa.int64()), pa.array([x.tobytes() for x in names], pa.binary())],
-                names=["node", "fp", "n", "names"],
-            )
-
-    texts = keyed(docs, id_col, text_col).join(few(found.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+            names = [np.unique(shingle_hashes(t, k)).astype("<u8") for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in names], pa.binary())], names=["node", "names"])
+
+    texts = keyed(docs, id_col, text_col).join(few(found.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").distinct()
     bounded_arrow(spark)
-    full = materialize(texts.mapInArrow(sets, "node long, fp long, n long, names binary").where("n > 0").withColumn("band", _bands(similarity)), "shingle-sets")
+    # sketches of the candidates alone, so that the sets are joined to few rows
+    full = materialize(texts.mapInArrow(sets, "node long, names binary").join(own.join(few(found), "node", "left_semi").dropDuplicates(["node"]), "node"), "shingle-sets")
+    release(spark)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(t: pa.Table) -> pa.RecordBatch | None:
-            same = (t.column("g")[0].as_py() % 2 == 0) and t.column("p")[0].as_py() == t.column("q")[0].as_py()
             side = t.column("side").to_numpy()
-            if not same and (side.all() or not side.any()):
+            if not _one_tile(t) and (side.all() or not side.any()):
                 return None
             n = t.column("n").to_numpy()
             names = [np.frombuffer(x, "<u8") for x in t.column("names").to_pylist()]
 
             def alike(i: int, j: int) -> bool:
-                least, most = (n[i], n[j]) if n[i] < n[j] else (n[j], n[i])
-                if least < similarity * most:
+                if n[i] > n[j]:
+                    i, j = j, i
+                if n[i] < similarity * n[j]:
                     return False
-                small, large = (names[i], names[j]) if n[i] <= n[j] else (names[j], names[i])
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
+                at = np.minimum(np.searchsorted(names[j], names[i]), len(names[j]) - 1)
+                common = int((names[j][at] == names[i]).sum())
                 return common >= similarity * (n[i] + n[j] - common)
 
             return _forest(t, radius, alike)
 
         yield from _by_group(batches, ["g", "p", "q"], work)
 
-    edges = _in_tiles(full, similarity, 8).select("node", "fp", "n", "names", "g", "p", "q", "side").mapInArrow(link, "a long, b long")
+    edges = _in_tiles(full, similarity, 8).select("node", "fp", "fp2", "n", "names", "g", "p", "q", "side").mapInArrow(link, "a long, b long")
     return components(edges, "near-links")
 
 

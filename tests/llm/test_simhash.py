@@ -80,9 +80,9 @@ def test_tile_links_whole():
     g = np.random.default_rng(1)
     a = g.integers(0, 1 << 63, 700, dtype=np.uint64)
     a[300:600] = a[:300] ^ (np.uint64(1) << g.integers(0, 63, 300).astype(np.uint64))
-    got = {tuple(sorted(x)) for r, c in simhash.tile_links(a, None, 3) for x in zip(r.tolist(), c.tolist())}
+    got = {tuple(sorted(x)) for r, c in simhash.tile_links([a], None, 3) for x in zip(r.tolist(), c.tolist())}
     assert got == {(i, j) for j in range(700) for i in range(j) if int(a[i] ^ a[j]).bit_count() <= 3}
-    got = {x for r, c in simhash.tile_links(a[:350], a[350:], 20) for x in zip(r.tolist(), c.tolist())}
+    got = {x for r, c in simhash.tile_links([a[:350]], [a[350:]], 20) for x in zip(r.tolist(), c.tolist())}
     assert got == {(i, j) for i in range(350) for j in range(350) if int(a[i] ^ a[350 + j]).bit_count() <= 20}
 
 
