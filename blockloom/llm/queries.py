@@ -78,6 +78,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) t(i)),
+late AS (SELECT win.doc_id, i FROM win JOIN (SELECT s, min(doc_id) AS first FROM win GROUP BY s) f ON win.s = f.s AND win.doc_id > f.first),
+gone AS (SELECT DISTINCT doc_id, p FROM late, unnest(range(i, i + 13)) t(p)),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_FOLD = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP6 = f"""
+WITH d AS (SELECT doc_id, {_FOLD} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_FOLD} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i+9], ' ') AS s FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0),
+win AS (SELECT doc_id, i, n, array_to_string(w[i:i+n-1], ' ') AS s FROM d, (SELECT DISTINCT n FROM p), unnest(range(1, len(w) - n + 2)) t(i)),
+occ AS (SELECT doc_id, i, n, item FROM win JOIN p USING (n, s)),
+hit AS (SELECT DISTINCT doc_id, q FROM occ, unnest(range(i - 1, i - 1 + n)) t(q)),
+runs AS (SELECT doc_id, min(q) AS a, max(q) + 1 AS z FROM (SELECT doc_id, q, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS g FROM hit) GROUP BY doc_id, g),
+h AS (SELECT doc_id, sum(z - a)::BIGINT AS n_hit, string_agg(a || ':' || z, ',' ORDER BY a) AS spans FROM runs GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 def _op7_sql() -> str:
     def edge(term: str) -> str:
         return f"(^|[^a-z0-9]){term}($|[^a-z0-9])"
@@ -124,4 +149,4 @@ FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op7_url_filter": _op7_sql(), "op10_secrets": _op10_sql()}
+    return {"op3_exact_dedup": OP3, "op4_substring_dedup": OP4, "op6_decontamination": OP6, "op7_url_filter": _op7_sql(), "op10_secrets": _op10_sql()}
