@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_arrow, materialize, pieces, ragged, release, spans_of, text_bytes
@@ -67,14 +67,17 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[first], lo[first], (top - base)[last]
 
 
-RECORD = "key long, ctx long, doc_id long, lo int, hi int, known boolean"
+#: place: first unit, number of units and a flag in one number, for records are the bulk of what is shuffled.
+#: A known range's end stands in the place of the context's hash.
+RECORD = "key long, ctx long, doc_id long, place long"
+MOST_UNITS = 255
+PLAIN, KNOWN = range(2)
 
 
-def _record_batch(key, ctx, doc, lo, hi, known: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.full(len(doc), known))],
-        names=["key", "ctx", "doc_id", "lo", "hi", "known"],
-    )
+def _record_batch(key, ctx, doc, lo, hi, flag: int) -> pa.RecordBatch:
+    lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+    place = lo << 10 | flag if flag & KNOWN else lo << 10 | (hi - lo) << 2 | flag
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(hi if flag == KNOWN else ctx.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(place)], names=["key", "ctx", "doc_id", "place"])
 
 
 def _records(method: Method):
@@ -110,10 +113,10 @@ def _records(method: Method):
             if not method.other_document:
                 known |= lo[order] != lo[of]
             k, o = order[known], order[~known]
-            yield _record_batch(key[o], ctx[o], doc[o], lo[o], hi[o], False)
+            yield _record_batch(key[o], ctx[o], doc[o], lo[o], hi[o], PLAIN)
             if len(k):
                 d, x, y = _merged(doc[k], lo[k], hi[k])
-                yield _record_batch(mix(d.astype(np.uint64)), np.zeros(len(d), np.uint64), d, x, y, True)
+                yield _record_batch(mix(d.astype(np.uint64)), None, d, x, y, KNOWN)
 
     return run
 
@@ -132,18 +135,19 @@ def _marks(method: Method):
         last_key = last_ctx = least_doc = least_lo = None
         several, held = False, []
         for b in batches:
-            known = b.column("known").to_numpy(zero_copy_only=False)
-            key, ctx, doc, lo, hi = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "ctx", "doc_id", "lo", "hi"))
+            key, ctx, doc, place = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "ctx", "doc_id", "place"))
+            known, lo = (place & 3) == KNOWN, (place >> 10).astype(np.int32)
             if known.any():
-                yield _mark_batch(doc[known], lo[known], hi[known], key[known], True)
-                key, ctx, doc, lo, hi = (x[~known] for x in (key, ctx, doc, lo, hi))
+                yield _mark_batch(doc[known], lo[known], ctx[known].astype(np.int32), key[known], True)
+                key, ctx, doc, lo, place = (x[~known] for x in (key, ctx, doc, lo, place))
+            hi = lo + (place >> 2 & MOST_UNITS).astype(np.int32)
             if not len(key):
                 continue
             new_key = np.concatenate(([key[0] != last_key], key[1:] != key[:-1]))
             new_ctx = new_key | np.concatenate(([ctx[0] != last_ctx], ctx[1:] != ctx[:-1]))
-            place = np.maximum.accumulate(np.where(new_ctx, np.arange(len(key)), -1))
-            least = np.where(place >= 0, doc[place], doc[0] if least_doc is None else least_doc)
-            least_at = np.where(place >= 0, lo[place], lo[0] if least_lo is None else least_lo)
+            of = np.maximum.accumulate(np.where(new_ctx, np.arange(len(key)), -1))
+            least = np.where(of >= 0, doc[of], doc[0] if least_doc is None else least_doc)
+            least_at = np.where(of >= 0, lo[of], lo[0] if least_lo is None else least_lo)
             stands = doc == least
             if not method.other_document:
                 stands &= lo == least_at
@@ -251,7 +255,9 @@ def recurring(docs: DataFrame, method: Method, hot: int = HOT) -> tuple[DataFram
     """docs: (doc_id, text), neither null. Two tables of ranges in units by document: (doc_id, known), (doc_id, found), arrays of struct(lo, hi)."""
     spark = docs.sparkSession
     bounded_arrow(spark)
-    records = docs.mapInArrow(_records(method), RECORD).repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "lo")
+    if method.window - 1 + method.stretch > MOST_UNITS:
+        raise ValueError(f"a context has at most {MOST_UNITS} units")
+    records = docs.mapInArrow(_records(method), RECORD).repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "place")
     marks = records.mapInArrow(_marks(method), MARK)
     pair = F.struct("lo", "hi")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.when(F.col("known"), pair)).alias("known"), F.collect_list(F.when(~F.col("known"), F.struct("key", "lo", "hi"))).alias("asked"))
@@ -260,17 +266,17 @@ def recurring(docs: DataFrame, method: Method, hot: int = HOT) -> tuple[DataFram
 
     asked = marks.where(F.size("asked") > 0).select("doc_id", "asked")
     # how many contexts a key has: few keys have very many
-    busy = asked.select(F.explode("asked.key").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
-    busy = materialize(busy, "busy")
-    any_busy = not busy.isEmpty()
+    crowded = asked.select(F.explode("asked.key").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
+    crowded = materialize(crowded, "crowded")
+    any_crowded = not crowded.isEmpty()
     contexts = docs.join(asked, "doc_id").mapInArrow(_contexts(method), "key long, doc_id long, lo int, context binary")
     cold = contexts
-    if any_busy:
+    if any_crowded:
         contexts = materialize(contexts, "contexts")
-        cold = contexts.join(busy, "key", "left_anti")
+        cold = contexts.join(crowded, "key", "left_anti")
     found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_comparison(method), "doc_id long, lo int, hi int")
-    if any_busy:
-        windows = contexts.join(busy, "key", "left_semi").mapInArrow(_window_hashes(method), "h1 long, h2 long, doc_id long, lo int")
+    if any_crowded:
+        windows = contexts.join(crowded, "key", "left_semi").mapInArrow(_window_hashes(method), "h1 long, h2 long, doc_id long, lo int")
         windows = materialize(windows.distinct(), "windows")
         first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
         later = F.col("doc_id") > F.col("first.doc_id")
@@ -297,7 +303,7 @@ def covered(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
         column = batch.column(name)
         if column.null_count == len(column):
             continue
-        n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)).astype(np.int64)
+        n = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
         flat = column.flatten()
         text = np.repeat(np.arange(len(n)), n)
         lo = np.minimum(flat.field(0).to_numpy(zero_copy_only=False), size[text]) + offsets[text]

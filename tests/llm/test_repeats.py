@@ -87,7 +87,7 @@ def test_streamed_marks_do_not_depend_on_batches(spark):
     n = 900
     a = np.stack([rnd.integers(0, 60, n), rnd.integers(0, 3, n), rnd.integers(0, 40, n), rnd.integers(0, 50, n)])
     a = a[:, np.lexsort(a[::-1])]
-    batch = repeats._record_batch(a[0].astype(np.uint64), a[1].astype(np.uint64), a[2], a[3], a[3] + 9, False)
+    batch = repeats._record_batch(a[0].astype(np.uint64), a[1].astype(np.uint64), a[2], a[3], a[3] + 9, repeats.PLAIN)
     for m in (substring.method(), suffix_dedup.method()):
         want = None
         for size in (n, 1, 2, 7, 50):
