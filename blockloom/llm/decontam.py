@@ -2,8 +2,8 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is 10 consecutive
 words of an item (an item of fewer words, but not none, is one window). Test phrases are the
-distinct windows; they are sent to the tasks in blocks of bounded size, and every block is
-held against all documents.
+distinct windows; they are sent to the tasks in blocks of bounded size, one after the other, and every block is
+held against all documents (one block, the usual case, takes one pass without a shuffle).
 
 A shard is what one task has of the documents, some MB at a time. Its words become symbols of
 the phrases' own vocabulary, every other word a separator. No window can contain a separator, so runs of
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import rolling
-from .common import bounded_arrow, keyed, pieces, ragged, real_id, spans_of
+from .common import bounded_arrow, id_or_stand_in, keyed, materialize, pieces, ragged, real_id, spans_of
 
 WINDOW = 10
 SAMPLED = 8
@@ -206,49 +206,102 @@ def hit_words(n: np.ndarray, text: np.ndarray, first: np.ndarray, length: np.nda
     return np.cumsum(change)[:-1] > 0, at
 
 
-def phrase_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list[Phrases]:
-    """The benchmark's phrases in blocks of some MB of text: what goes to the tasks at once is bounded."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // BLOCK_BYTES + 1
-    out = []
-    for i in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)
-        out.append(Phrases([(r["item"], r["text"].encode()) for r in own.collect()], window))
-    return out
+class Benchmark:
+    """The items in blocks of some MB of text: one block's phrases at a time are on the driver and in the tasks."""
+
+    def __init__(self, benchmark: DataFrame, window: int, id_col: str, text_col: str):
+        self.window = window
+        self.items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        self.blocks = int((self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES + 1)
+
+    def phrases(self, block: int) -> Phrases:
+        own = self.items.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.blocks)) == block)
+        return Phrases([(r["item"], r["text"].encode()) for r in own.collect()], self.window)
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def _block_hits(keys: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """keys: (doc_id, th, text). For several blocks: the occurrences of every document that has any, block after block, each written before the next begins."""
+    schema = "doc_id long, th long, first array<int>, length array<int>, items array<string>"
+    out = None
+    for block in range(benchmark.blocks):
+        phrases = benchmark.phrases(block)
+
+        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, SHARD_BYTES):
+                _, text, first, which = shard_hits(_bytes(b.column("text")), phrases)
+                order = np.argsort(text, kind="stable")
+                text, first, which = text[order], first[order], which[order]
+                own = np.unique(text)
+                cut_at = np.searchsorted(text, own[1:])
+                groups = np.split(which, cut_at) if len(own) else []
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").take(pa.array(own)), b.column("th").take(pa.array(own)),
+                        pa.array(np.split(first, cut_at) if len(own) else [], pa.list_(pa.int32())), pa.array([phrases.length[g] for g in groups], pa.list_(pa.int32())),
+                        pa.array([sorted({x for p in set(g.tolist()) for x in phrases.items[p]}) for g in groups], pa.list_(pa.string())),
+                    ],
+                    names=["doc_id", "th", "first", "length", "items"],
+                )
+
+        found = materialize(keys.mapInArrow(run, schema), "block-hits")
+        out = found if out is None else out.unionByName(found)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    # rows that repeat give the same occurrences again, which changes nothing
+    return out.groupBy("doc_id", "th").agg(flat("first"), flat("length"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _of_lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and length of all occurrences that came with a batch."""
+    n = [len(x or ()) for x in b.column("first").to_pylist()]
+    values = [np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in b.column(c).to_pylist() if x]]) for c in ("first", "length")]
+    return np.repeat(np.arange(len(n)), n), *values
+
+
+def _summary(ids: pa.Array, n: np.ndarray, text: np.ndarray, first: np.ndarray, length: np.ndarray, found: list) -> pa.RecordBatch:
+    hit, at = hit_words(n, text, first, length)
+    total = np.concatenate(([0], np.cumsum(hit)))
+    n_hit = total[at[1:]] - total[at[:-1]]
+    spans = []
+    for i, k in enumerate(n_hit.tolist()):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[at[i] : at[i + 1]].view(np.int8), [0])))).tolist() if k else []
+        spans.append(",".join(f"{x}:{y}" for x, y in zip(edge[::2], edge[1::2])))
+    sha = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in found]
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(n), pa.array(n_hit), pa.array([len(s) for s in found], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0), pa.array(spans, pa.string())],
+        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+    )
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first:end in words) of every row."""
     bounded_arrow(docs.sparkSession)
-    blocks = phrase_blocks(benchmark, window, item_col, item_text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, SHARD_BYTES):
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            found: list[set] = [set() for _ in texts]
-            parts = []
-            for phrases in blocks:
-                n, text, first, which = shard_hits(texts, phrases)
-                parts.append((text, first, phrases.length[which]))
-                if len(text):
-                    pair = np.unique(np.stack([text, which]), axis=1)
-                    for t, p in zip(*pair.tolist()):
-                        found[t].update(phrases.items[p])
-            hit, at = hit_words(n, *[np.concatenate(x) for x in zip(*parts)])
-            total = np.concatenate(([0], np.cumsum(hit)))
-            n_hit = total[at[1:]] - total[at[:-1]]
-            spans = []
-            for i, k in enumerate(n_hit.tolist()):
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit[at[i] : at[i + 1]].view(np.int8), [0])))).tolist() if k else []
-                spans.append(",".join(f"{x}:{y}" for x, y in zip(edge[::2], edge[1::2])))
-            sha = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n), pa.array(n_hit), pa.array([len(s) for s in found], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0), pa.array(spans, pa.string())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-            )
-
-    out = keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    items = Benchmark(benchmark, window, item_col, item_text_col)
+    rows = keyed(docs, id_col, text_col)
+    if items.blocks == 1:
+        phrases = items.phrases(0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, SHARD_BYTES):
+                n, text, first, which = shard_hits(_bytes(b.column("text")), phrases)
+                found: list[set] = [set() for _ in range(len(n))]
+                for t, p in zip(*np.unique(np.stack([text, which]), axis=1).tolist()):
+                    found[t].update(phrases.items[p])
+                yield _summary(b.column("doc_id"), n, text, first, phrases.length[which], found)
+
+    else:
+        rows = rows.withColumn("th", F.xxhash64("text"))
+        rows = rows.join(_block_hits(rows, items), ["doc_id", "th"], "left")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, SHARD_BYTES):
+                n = np.array([len(words_of(t)) for t in _bytes(b.column("text"))], np.int64)
+                yield _summary(b.column("doc_id"), n, *_of_lists(b), [set(x or ()) for x in b.column("items").to_pylist()])
+
+    out = rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
     return out.select(real_id(), *out.columns[1:])
 
 
@@ -264,30 +317,45 @@ def cut(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _without(b: pa.RecordBatch, text_col: str, n: np.ndarray, text: np.ndarray, first: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    changed = set(text.tolist())
+    if not changed:
+        return b
+    hit, at = hit_words(n, text, first, length)
+    new, texts = b.column(text_col).to_pylist(), _bytes(b.column(text_col))
+    for i in changed:
+        new[i] = cut(texts[i], hit[at[i] : at[i + 1]]).decode()
+    arrays = dict(zip(b.schema.names, b.columns))
+    arrays[text_col] = pa.array(new, b.schema.field(text_col).type)
+    if "n_chars" in arrays and pa.types.is_integer(arrays["n_chars"].type):
+        arrays["n_chars"] = pa.array([len(new[i]) if i in changed else c for i, c in enumerate(arrays["n_chars"].to_pylist())], arrays["n_chars"].type)
+    return pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs with the spans removed from the texts; all rows and columns stay, and n_chars, where it is a column, is counted anew for the texts that change."""
     bounded_arrow(docs.sparkSession)
-    blocks = phrase_blocks(benchmark, window, item_col, item_text_col)
+    items = Benchmark(benchmark, window, item_col, item_text_col)
+    if items.blocks == 1:
+        phrases = items.phrases(0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, SHARD_BYTES, text_col):
+                n, text, first, which = shard_hits(_bytes(b.column(text_col)), phrases)
+                yield _without(b, text_col, n, text, first, phrases.length[which])
+
+        return docs.mapInArrow(run, docs.schema)
+    # all blocks are judged on the input, then everything goes at once
+    hits = _block_hits(keyed(docs, id_col, text_col).withColumn("th", F.xxhash64("text")), items)
+    hits = hits.select(*[F.col(c).alias(f"__{c}") for c in hits.columns])
+    own = docs.withColumn("__k", id_or_stand_in(id_col, text_col)).withColumn("__t", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    own = own.join(hits, (F.col("__k") == F.col("__doc_id")) & (F.col("__t") == F.col("__th")), "left").drop("__k", "__t", "__doc_id", "__th", "__items")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces((x for x in batches if x.num_rows), SHARD_BYTES, text_col):
-            texts = [t or b"" for t in b.column(text_col).cast(pa.binary()).to_pylist()]
-            parts = []
-            for phrases in blocks:
-                n, text, first, which = shard_hits(texts, phrases)
-                parts.append((text, first, phrases.length[which]))
-            changed = set(np.concatenate([p[0] for p in parts]).tolist())
-            if changed:
-                hit, at = hit_words(n, *[np.concatenate(x) for x in zip(*parts)])
-                new = b.column(text_col).to_pylist()
-                for i in changed:
-                    new[i] = cut(texts[i], hit[at[i] : at[i + 1]]).decode()
-                arrays = dict(zip(b.schema.names, b.columns))
-                arrays[text_col] = pa.array(new, b.schema.field(text_col).type)
-                if "n_chars" in arrays and pa.types.is_integer(arrays["n_chars"].type):
-                    count = [len(new[i]) if i in changed else c for i, c in enumerate(arrays["n_chars"].to_pylist())]
-                    arrays["n_chars"] = pa.array(count, arrays["n_chars"].type)
-                b = pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
-            yield b
-
-    return docs.mapInArrow(run, docs.schema)
+        for b in pieces(batches, SHARD_BYTES, text_col):
+            n = np.array([len(words_of(t)) for t in _bytes(b.column(text_col))], np.int64)
+            lists = pa.RecordBatch.from_arrays([b.column("__first"), b.column("__length")], names=["first", "length"])
+            yield _without(b.select(names), text_col, n, *_of_lists(lists))
+
+    return own.mapInArrow(run, docs.schema)

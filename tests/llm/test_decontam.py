@@ -51,7 +51,10 @@ def test_blocks_of_phrases_change_nothing(spark, monkeypatch):
     rows = odd_documents(4)
     bench = spark.createDataFrame(items(rows), "item_id long, text string")
     one = sorted(map(str, decontam.scan(frame(spark, rows), bench).collect()))
+    gone = sorted(map(str, decontam.remove(frame(spark, rows), bench).collect()))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
+    assert decontam.Benchmark(bench, 10, "item_id", "text").blocks > 2
+    assert sorted(map(str, decontam.remove(frame(spark, rows), bench).collect())) == gone
     assert sorted(map(str, decontam.scan(frame(spark, rows), bench).collect())) == one
 
 
