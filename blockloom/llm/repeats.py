@@ -8,7 +8,9 @@ same for stretches of neighbouring windows. Then:
    passage sends one record for each task, not one for each copy.
 2. Records meet by key. Of equal contexts all but the first recur (a window of an equal context
    begins earlier). Where one key has several contexts, windows may still be shared; the first
-   record of each context asks for a comparison.
+   record of each context asks for a comparison. A key that has BUSY contexts within one piece of one task
+   would crowd one place (a line common to a third of all documents): its records meet by context instead,
+   all ask, and a sign at the key's own place makes the records of other tasks ask too.
 3. Contexts that ask are cut from the texts and compared by key, by the method's own exact means. A key with over
    HOT contexts isn't compared in one task: its windows' 128-bit hashes are aggregated instead.
 4. Ranges are merged by document.
@@ -33,6 +35,7 @@ from .rolling import Rolling, mix
 PIECE_BYTES = 2 << 20
 COMPARE_BYTES = 1 << 19
 HOT = 50_000
+BUSY = 8
 
 
 @dataclass(frozen=True)
@@ -67,11 +70,12 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[first], lo[first], (top - base)[last]
 
 
-#: place: first unit, number of units and a flag in one number, for records are the bulk of what is shuffled.
+#: place: first unit, number of units and two flags in one number, for records are the bulk of what is shuffled.
 #: A known range's end stands in the place of the context's hash.
 RECORD = "key long, ctx long, doc_id long, place long"
 MOST_UNITS = 255
-PLAIN, KNOWN = range(2)
+PLAIN, KNOWN, SEVERAL, SIGN = range(4)
+FIRST = np.iinfo(np.int64).min
 
 
 def _record_batch(key, ctx, doc, lo, hi, flag: int) -> pa.RecordBatch:
@@ -80,7 +84,7 @@ def _record_batch(key, ctx, doc, lo, hi, flag: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(hi if flag == KNOWN else ctx.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(place)], names=["key", "ctx", "doc_id", "place"])
 
 
-def _records(method: Method):
+def _records(method: Method, busy: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, PIECE_BYTES):
             raw, at = text_bytes(b.column("text"))
@@ -113,6 +117,15 @@ def _records(method: Method):
             if not method.other_document:
                 known |= lo[order] != lo[of]
             k, o = order[known], order[~known]
+            # keys with many contexts even here: their records are dealt by context, and a sign at the key's place says so
+            tops, contexts = np.unique(key[order[head]], return_counts=True)
+            tops = tops[contexts >= busy]
+            if len(tops):
+                hot = np.isin(key[o], tops)
+                h, o = o[hot], o[~hot]
+                yield _record_batch(key[h], ctx[h], doc[h], lo[h], hi[h], SEVERAL)
+                zero = np.zeros(len(tops), np.int64)
+                yield _record_batch(tops, np.full(len(tops), FIRST), zero, zero, zero, SIGN)
             yield _record_batch(key[o], ctx[o], doc[o], lo[o], hi[o], PLAIN)
             if len(k):
                 d, x, y = _merged(doc[k], lo[k], hi[k])
@@ -141,6 +154,7 @@ def _marks(method: Method):
                 yield _mark_batch(doc[known], lo[known], ctx[known].astype(np.int32), key[known], True)
                 key, ctx, doc, lo, place = (x[~known] for x in (key, ctx, doc, lo, place))
             hi = lo + (place >> 2 & MOST_UNITS).astype(np.int32)
+            sign = (place & 3) == SIGN  # first of its key, and in itself another context
             if not len(key):
                 continue
             new_key = np.concatenate(([key[0] != last_key], key[1:] != key[:-1]))
@@ -155,7 +169,7 @@ def _marks(method: Method):
                 yield _mark_batch(doc[~stands], lo[~stands], hi[~stands], key[~stands], True)
             part = np.cumsum(new_key)  # 0: goes on with the last key
             seen = np.zeros(int(part[-1]) + 1, bool)
-            seen[part[new_ctx & ~new_key]] = True
+            seen[part[new_ctx & ~new_key | ((place & SEVERAL) > 0)]] = True
             seen[0] |= several
             if part[0] or seen[0]:
                 if held and not part[0]:
@@ -163,7 +177,7 @@ def _marks(method: Method):
                 held = []
             elif part[-1] and not seen[0]:
                 held = []
-            ask = stands & seen[part]
+            ask = stands & seen[part] & ~sign
             if ask.any():
                 yield _mark_batch(doc[ask], lo[ask], hi[ask], key[ask], False)
             if not seen[-1]:
@@ -251,13 +265,14 @@ def _window_hashes(method: Method):
     return run
 
 
-def recurring(docs: DataFrame, method: Method, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, method: Method, hot: int = HOT, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
     """docs: (doc_id, text), neither null. Two tables of ranges in units by document: (doc_id, known), (doc_id, found), arrays of struct(lo, hi)."""
     spark = docs.sparkSession
     bounded_arrow(spark)
     if method.window - 1 + method.stretch > MOST_UNITS:
         raise ValueError(f"a context has at most {MOST_UNITS} units")
-    records = docs.mapInArrow(_records(method), RECORD).repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "place")
+    by = F.when(F.col("place").bitwiseAND(F.lit(3)) == SEVERAL, F.xxhash64("key", "ctx")).otherwise(F.col("key"))
+    records = docs.mapInArrow(_records(method, busy), RECORD).repartition(by).sortWithinPartitions("key", "ctx", "doc_id", "place")
     marks = records.mapInArrow(_marks(method), MARK)
     pair = F.struct("lo", "hi")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.when(F.col("known"), pair)).alias("known"), F.collect_list(F.when(~F.col("known"), F.struct("key", "lo", "hi"))).alias("asked"))
@@ -288,9 +303,9 @@ def recurring(docs: DataFrame, method: Method, hot: int = HOT) -> tuple[DataFram
     return marks.select("doc_id", "known"), found
 
 
-def with_ranges(docs: DataFrame, method: Method, hot: int = HOT) -> DataFrame:
+def with_ranges(docs: DataFrame, method: Method, hot: int = HOT, busy: int = BUSY) -> DataFrame:
     """(doc_id, text, known, found) of every row of docs."""
-    known, found = recurring(docs, method, hot)
+    known, found = recurring(docs, method, hot, busy)
     return docs.join(known, "doc_id", "left").join(found, "doc_id", "left")
 
 

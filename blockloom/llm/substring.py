@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from . import rolling
 from .common import bounded_arrow, keyed, pieces, ragged, real_id, spans_of, text_bytes
 from .recompression import window_keys
-from .repeats import HOT, Method, covered, with_ranges
+from .repeats import BUSY, HOT, Method, covered, with_ranges
 
 WINDOW = 13
 MOST = 2
@@ -87,7 +87,7 @@ def method(window: int = WINDOW) -> Method:
     return Method(window, window, True, _units, lambda names, at: window_keys(names, at, window, MOST), _cut, _compare(window))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, busy: int = BUSY, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row and, if asked for, the kept text."""
     if not 2 <= window <= 15:
         raise ValueError("window: 2 to 15 words")
@@ -108,7 +108,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = with_ranges(keyed(docs, id_col, text_col), method(window), hot)
+    rows = with_ranges(keyed(docs, id_col, text_col), method(window), hot, busy)
     bounded_arrow(docs.sparkSession)
     out = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
     return out.select(real_id(), *out.columns[1:])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from . import rolling
 from .common import bounded_arrow, keyed, pieces, ragged, real_id, spans_of, text_bytes
-from .repeats import HOT, Method, covered, with_ranges
+from .repeats import BUSY, HOT, Method, covered, with_ranges
 
 WINDOW = 100
 GRAM = 32
@@ -122,7 +122,7 @@ def method(window: int = WINDOW, gram: int = GRAM) -> Method:
     return Method(window, window - gram + 1, False, _units, _keys(window, gram), lambda raw, at, lo, hi: (lo, hi), _compare(window))
 
 
-def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, with_bytes: bool = False) -> DataFrame:
+def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, busy: int = BUSY, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row and, if asked for, the kept bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_co
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = with_ranges(keyed(docs, id_col, text_col), method(window, gram), hot)
+    rows = with_ranges(keyed(docs, id_col, text_col), method(window, gram), hot, busy)
     bounded_arrow(docs.sparkSession)
     out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else ""))
     return out.select(real_id(), *out.columns[1:])

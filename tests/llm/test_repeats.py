@@ -54,15 +54,16 @@ def plain_bytes(rows, window=100):
 
 def test_words_equal_brute_force(spark):
     rows = odd_documents()
-    for hot in (repeats.HOT, 2):  # 2: nearly every key takes the way of hot keys
-        got = [tuple(r) for r in substring.remove_repeats(frame(spark, rows), hot=hot).collect()]
+    # 2: nearly every key takes the way of hot keys; 1: every record is dealt by context
+    for hot, busy in ((repeats.HOT, repeats.BUSY), (2, 2), (9, 1)):
+        got = [tuple(r) for r in substring.remove_repeats(frame(spark, rows), hot=hot, busy=busy).collect()]
         assert len(got) == len(rows) and set(got) == plain_words(rows) and sum(r[2] for r in got) > 100
 
 
 def test_bytes_equal_brute_force(spark):
     rows = odd_documents()
-    for hot in (repeats.HOT, 2):
-        got = [tuple(r) for r in suffix_dedup.remove_copies(frame(spark, rows), hot=hot).collect()]
+    for hot, busy in ((repeats.HOT, repeats.BUSY), (2, 2), (9, 1)):
+        got = [tuple(r) for r in suffix_dedup.remove_copies(frame(spark, rows), hot=hot, busy=busy).collect()]
         assert len(got) == len(rows) and set(got) == plain_bytes(rows) and sum(r[2] for r in got) > 1000
 
 
