@@ -22,14 +22,17 @@ def running_max(rows: DataFrame, value: Column, order: str, name: str, bucket: i
 
 
 def islands(heights: DataFrame, column: str = "height", bucket: int = BUCKET) -> DataFrame:
-    """(start, end, n) of maximal runs of consecutive values. Runs are found in buckets, then runs that meet at a bucket's edge are joined."""
+    """(start, end, n) of maximal runs of consecutive values. Runs are found in buckets, then those that meet at a bucket's edge are joined."""
     own = heights.select(F.col(column).alias("h")).distinct().withColumn("b", F.floor(F.col("h") / bucket))
     place = F.row_number().over(Window.partitionBy("b").orderBy("h"))
     parts = own.withColumn("g", F.col("h") - place).groupBy("b", "g").agg(F.min("h").alias("start"), F.max("h").alias("end"))
+    # only runs at an edge of a bucket can go on in the next: two for each bucket at most
+    at_edge = (F.col("start") % bucket == 0) | ((F.col("end") + 1) % bucket == 0)
     w = Window.orderBy("start")
-    parts = parts.withColumn("new", F.coalesce((F.col("start") != F.lag("end").over(w) + 1).cast("int"), F.lit(1)))
-    parts = parts.withColumn("run", F.sum("new").over(w))
-    return parts.groupBy("run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("start", "end", (F.col("end") - F.col("start") + 1).alias("n"))
+    edge = parts.where(at_edge).withColumn("new", F.coalesce((F.col("start") != F.lag("end").over(w) + 1).cast("int"), F.lit(1)))
+    edge = edge.withColumn("run", F.sum("new").over(w)).groupBy("run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    out = parts.where(~at_edge).select("start", "end").unionByName(edge.select("start", "end"))
+    return out.select("start", "end", (F.col("end") - F.col("start") + 1).alias("n"))
 
 
 def fenced(arrivals: DataFrame, generation: int) -> DataFrame:
