@@ -34,7 +34,7 @@ from .rolling import Rolling, mix
 
 PIECE_BYTES = 2 << 20
 COMPARE_BYTES = 1 << 19
-HOT = 50_000
+HOT = 2_000
 BUSY = 8
 
 
