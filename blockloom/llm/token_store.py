@@ -14,6 +14,7 @@ one document of one block. Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 import zlib
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import bounded_arrow, keyed, pieces, ragged, real_id, scratch_root, spans_of
-from .pieces import PieceMemory
+from . import rolling
+from .common import bounded_arrow, keyed, pieces, ragged, real_id, scratch_root, spans_of, text_bytes
 
 BLOCK_TOKENS = 1 << 18
 BLOCK_SCHEMA = "shard int, block int, before long, n_docs int, n_tokens long, width int, doc_ids binary, offsets binary, payload binary"
@@ -60,52 +61,142 @@ def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def library_encoder(path: str):
-    """A function from pieces of text to their ids by the tokenizers library.
+class Library:
+    """The tokenizers library on pieces of text.
 
-    A piece of letters, or of letters and one final mark, is encoded once for its letters. Letters are
-    encoded in runs joined by spaces; in a run every word's last token is an end-of-word token, which
-    gives the borders back. A run whose borders don't add up, and every other piece, is encoded piece by piece.
+    A piece of letters is encoded in a run of pieces joined by spaces; every piece's last token is an
+    end-of-word token, which gives the borders back. A run whose borders don't add up, and all other pieces, are
+    encoded piece by piece.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    suffix = getattr(t.model, "end_of_word_suffix", None)
-    last = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
-    if suffix:
-        last[[i for w, i in t.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
-    one = lambda new: [x.ids for x in t.encode_batch_fast(new, add_special_tokens=False)]
-    marks = {m: one([m])[0] for m in ".,"}
-
-    def encode(new: list[bytes]) -> list:
-        if not suffix:
-            return one([b.decode() for b in new])
-        text = b" ".join(new).decode().split(" ")
-        bare = [s[:-1] if s[-1] in marks else s for s in text]
-        own = [b if b.isalpha() else s for b, s in zip(bare, text)]
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_file(path)
+        self.t.no_truncation()
+        self.t.no_padding()
+        suffix = getattr(self.t.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.t.get_vocab_size(with_added_tokens=True), bool)
+        if suffix:
+            self.last[[i for w, i in self.t.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
+        #: a mark behind letters is a piece of its own
+        self.marks = {m: self.one([m])[0] for m in ".,"} if suffix else {}
+
+    def one(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, new: list[str]) -> list[list[int]]:
+        if not self.marks:
+            return self.one(new)
+        bare = [s[:-1] if s[-1] in self.marks else s for s in new]
+        own = [b if b.isalpha() else s for b, s in zip(bare, new)]
         stems: dict[str, list] = dict.fromkeys(own)
         plain = [w for w in stems if w.isalpha()]
         for i in range(0, len(plain), 256):
             run = plain[i : i + 256]
-            ids = t.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids
-            cut = np.flatnonzero(last[ids]) + 1
+            ids = self.one([" ".join(run)])[0]
+            cut = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(cut) == len(run):
-                cut = cut.tolist()
                 stems.update(zip(run, [ids[x:y] for x, y in zip([0, *cut], cut)]))
         rest = [w for w, ids in stems.items() if ids is None]
-        stems.update(zip(rest, one(rest)))
-        return [stems[w] if w is s else stems[w] + marks[s[-1]] for w, s in zip(own, text)]
-
-    return encode
-
-
-def _memory(path: str) -> PieceMemory:
-    """The library's encodings of pieces between ASCII white space. The tokenizer's rules never join across white space, so pieces give the ids of the whole text."""
+        stems.update(zip(rest, self.one(rest)))
+        return [stems[w] if w is s else stems[w] + self.marks[s[-1]] for w, s in zip(own, new)]
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+MOST_WORDS = 1_500_000
+
+
+class WordMemory:
+    """Ids of words met before, in sorted flat arrays: found by a 64-bit hash, made sure by a second one. Emptied beyond ``most`` words."""
+
+    def __init__(self, path: str, most: int = MOST_WORDS):
+        self.library, self.most = Library(path), most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sure, self.start, self.count = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids, self.words, self.used = np.zeros(1 << 18, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, self.slot[at], -1)
+
+    def add(self, h: np.ndarray, sure: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        n, counts = len(h), np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(counts.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.words + n > len(self.start):
+            self.sure, self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sure, self.start, self.count))
+        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        slots = np.arange(self.words, self.words + n)
+        self.sure[slots], self.count[slots], self.start[slots] = sure, counts, self.used + spans_of(counts)[:-1]
+        order = np.argsort(h)
+        at = np.searchsorted(self.hash, h[order])
+        self.hash, self.slot = np.insert(self.hash, at, h[order]), np.insert(self.slot, at, slots[order])
+        self.words, self.used = self.words + n, self.used + total
+        return slots
+
+    def known(self, slot: int) -> list[int]:
+        return self.ids[self.start[slot] : self.start[slot] + self.count[slot]].tolist()
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts in a buffer, and how many each has."""
+        low = LOWER[raw]  # lower case is the tokenizer's own first step
+        for i in _holding(raw, at, b"<|"):  # a special token's string must keep its letters
+            low[at[i] : at[i + 1]] = raw[at[i] : at[i + 1]]
+        start, end, n = rolling.words(low, at)
+        if not len(start):
+            return np.zeros(0, np.uint32), n
+        hashes = rolling.of_bytes(low)
+        h, sure = hashes.of(start, end), rolling.Rolling(rolling.SECOND_VALUE[low]).of(start, end)
+        u, first, code = np.unique(h, return_index=True, return_inverse=True)
+        if self.words + len(u) > self.most:
+            self.clear()
+        slot = self.find(u)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            text = low.tobytes()
+            a, b = start[first[new]], end[first[new]]
+            # letters that were met before, with a mark behind them now
+            tail = {m.encode()[0]: ids for m, ids in self.library.marks.items()}
+            marked = np.isin(low[b - 1], list(tail)) & (b - a > 1)
+            stem = np.where(marked, self.find(hashes.of(a, b - marked)), -1)
+            words = [text[x:y].decode() for x, y in zip(a.tolist(), b.tolist())]
+            stem = np.where([s >= 0 and w[:-1].isalpha() for s, w in zip(stem.tolist(), words)], stem, -1).tolist()
+            fresh = iter(self.library.encode([w for w, s in zip(words, stem) if s < 0]))
+            ids = [next(fresh) if s < 0 else self.known(s) + tail[ord(w[-1])] for w, s in zip(words, stem)]
+            slot[new] = self.add(u[new], sure[first[new]], ids)
+        if (self.sure[slot[code]] != sure).any():  # two words with one hash: never seen, yet not to be wrong
+            ids = [x for text in _texts(raw, at) for x in self.library.one([text])]
+            return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
+        counts = self.count[slot].astype(np.int64)[code]
+        bounds = spans_of(counts)[spans_of(n)]
+        return self.ids[ragged(self.start[slot][code], counts)], np.diff(bounds)
+
+
+def _texts(raw: np.ndarray, at: np.ndarray) -> list[str]:
+    data = raw.tobytes()
+    return [data[x:y].decode() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def _holding(raw: np.ndarray, at: np.ndarray, what: bytes) -> list[int]:
+    """The texts that hold a two-byte string."""
+    place = np.flatnonzero((raw[:-1] == what[0]) & (raw[1:] == what[1]))
+    return np.unique(np.searchsorted(at, place, side="right") - 1).tolist()
+
+
+def _memory(path: str) -> WordMemory:
+    """Encodings of pieces between ASCII white space. The tokenizer's rules never join across white space, so pieces give the ids of the whole text."""
     if path not in _memories:
-        _memories[path] = PieceMemory(library_encoder(path), 800_000)
+        _memories[path] = WordMemory(path)
     return _memories[path]
 
 
@@ -117,10 +208,7 @@ def vocabulary_of(path: str) -> int:
 
 def encode_texts(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and the number of each text."""
-    # lower case is the tokenizer's own first step; a special token's string must keep its letters
-    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    per = np.fromiter(map(len, words), np.int64, len(words))
-    return _memory(path).flat([w for ws in words for w in ws], per)
+    return _memory(path).encode(np.frombuffer(b"".join(texts), np.uint8), spans_of(np.array([len(t) for t in texts], np.int64)))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -141,7 +229,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens:
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
         for b in pieces(batches, 2 << 20):
-            flat, n = encode_texts(b.column("text").cast(pa.binary()).to_pylist(), tokenizer)
+            flat, n = _memory(tokenizer).encode(*text_bytes(b.column("text")))
             at = spans_of(n)
             out = np.full(len(flat) + len(n), end_id, np.uint32)
             out[ragged(at[:-1] + np.arange(len(n)), n)] = flat
