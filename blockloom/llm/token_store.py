@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import rolling
-from .common import bounded_arrow, keyed, pieces, ragged, real_id, scratch_root, spans_of, text_bytes
+from .common import bounded_arrow, few, keyed, pieces, ragged, real_id, release, scratch_root, spans_of, text_bytes
 
 BLOCK_TOKENS = 1 << 18
 BLOCK_SCHEMA = "shard int, block int, before long, n_docs int, n_tokens long, width int, doc_ids binary, offsets binary, payload binary"
@@ -246,6 +246,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens:
 
     rows = keyed(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    release(spark)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -256,7 +257,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Blocks with the tokens before each (``start``)."""
-    return spark.read.schema(BLOCK_SCHEMA).parquet(path).join(manifest(spark, path), "shard").withColumn("start", F.col("base") + F.col("before"))
+    # one row per shard is broadcast where it is counted to be few, so the payloads don't move
+    return spark.read.schema(BLOCK_SCHEMA).parquet(path).join(few(manifest(spark, path)), "shard").withColumn("start", F.col("base") + F.col("before"))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
