@@ -251,7 +251,9 @@ def _in_tiles(rows: DataFrame, similarity: float, bytes_each: float) -> DataFram
     """Rows with band, dealt to every pair of tiles they take part in: tile (g, p, q), side. Bands are few: their number grows with the logarithm of the longest text."""
     counts = {r["band"]: r["c"] for r in rows.groupBy("band").agg(F.count("*").alias("c")).collect()}
     factor = 1 / similarity
-    many = {b: max(1, math.ceil(c / max(64, min(4 * TILE, TILE_BYTES / (20 + bytes_each * factor ** (b + 1)))))) for b, c in counts.items()}
+    most = {b: max(64, min(4 * TILE, TILE_BYTES / (40 + bytes_each * factor ** (b + 1)))) for b in counts}
+    # a small band is dealt out a little too, for more tasks; a large one has tiles as large as they may be, for fewer copies
+    many = {b: max(1, math.ceil(c / most[b]), min(4, c // 512)) for b, c in counts.items()}
     if not many:
         many = {0: 1}
     of = F.create_map(*[F.lit(x) for b, m in many.items() for x in (b, m)])
