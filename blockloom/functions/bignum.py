@@ -74,7 +74,8 @@ def from_hex(c: Column) -> Column:
         return F.struct(high.alias("h"), _dec(middle % base).alias("m"), _dec(low % base).alias("l"))
 
     whole = F.aggregate(words, start, step)
-    return F.when(low.rlike("^0x(0|[1-9a-f][0-9a-f]{0,63})$"), join_limbs(whole["h"], whole["m"], whole["l"]))
+    short = F.conv(F.substring(low, 3, 15), 16, 10)  # most amounts fit a long
+    return F.when(low.rlike("^0x(0|[1-9a-f][0-9a-f]{0,14})$"), short).when(low.rlike("^0x[1-9a-f][0-9a-f]{0,63}$"), join_limbs(whole["h"], whole["m"], whole["l"]))
 
 
 def _dec26(c: Column) -> Column:
