@@ -16,10 +16,13 @@ radius are skipped, for such fingerprints cannot be within it. Which tiles meet:
 * ``near_duplicates`` (shingles of 5 words, similarity 0.8). At this similarity fingerprints differ in
   15% of the bits, so no blocks agree for sure. Tiles are bands of the number of distinct shingles: at
   similarity s sizes differ by a factor of 1/s at most, so a band meets itself and the next. The fingerprint
-  has 128 bits here (the second half from the same hashes, mixed). Documents with any fingerprint within
+  has 128 bits here (the second half from the same hashes, mixed) and is that of the distinct shingles, as the
+  similarity is: how often a passage repeats changes neither. Documents with any fingerprint within
   WIDE_RADIUS bits are candidates; for them the shingle sets go to the tiles too, and a link needs a
-  true Jaccard similarity of s. The radius keeps all but about 0.0005 of pairs at exactly 0.8, fewer
+  true Jaccard similarity of s. By the binomial law the radius misses up to 0.001 of pairs at exactly 0.8, fewer
   above, and lets one in fifty million pairs of unlike texts through. Comparisons are quadratic within a band.
+  Sets of up to SMALL shingles have too few votes for a bit, so they are linked without fingerprints and without loss
+  (``_small_links``): similar sets share one of their first shingles, rare ones first, and meet by it.
 
 Fingerprints equal to another's are compared once (the smallest id stands for them), null
 texts count as empty, null ids come last, repeated rows get equal results. Empty tables give no rows.
@@ -44,6 +47,9 @@ TILE = 4096
 SUB_TILE = 512
 SEED = 42
 WIDE_RADIUS = 33
+SMALL = 32
+#: A shingle of over so many small sets stands behind the rarer ones of its sets.
+COMMON = 64
 TILE_BYTES = 16 << 20
 
 
@@ -70,25 +76,27 @@ def _signed(fps: list[int]) -> pa.Array:
     return pa.array(np.array(fps, np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
-    """doc_id (not null), fp (the 64 bits as a signed long) and, if wide, fp2 (64 more) and n (distinct shingles)."""
+def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", wide: bool = False, named: int = 0) -> DataFrame:
+    """doc_id (not null), fp (the 64 bits as a signed long) and, if wide, fp2 (64 more), both over distinct shingles, n (their number) and names (they, sorted, where they are at most named)."""
     bounded_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            fps, more, n = [], [], []
+            fps, more, n, names_of = [], [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 h = shingle_hashes(t, k)
-                fps.append(fingerprint(h))
                 if wide:
+                    h = np.unique(h)
                     more.append(fingerprint(mix(h)))
-                    n.append(len(np.unique(h)))
+                    n.append(len(h))
+                    names_of.append(h.view(np.int64) if len(h) <= named else None)
+                fps.append(fingerprint(h))
             columns, names = [b.column("doc_id"), _signed(fps)], ["doc_id", "fp"]
             if wide:
-                columns, names = [*columns, _signed(more), pa.array(n, pa.int64())], [*names, "fp2", "n"]
+                columns, names = [*columns, _signed(more), pa.array(n, pa.int64()), pa.array(names_of, pa.list_(pa.int64()))], [*names, "fp2", "n", "names"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long" + (", fp2 long, n long" if wide else ""))
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long" + (", fp2 long, n long, names array<long>" if wide else ""))
 
 
 def tile_links(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -272,12 +280,58 @@ def _one_tile(t: pa.Table) -> bool:
     return t.column("g")[0].as_py() % 2 == 0 and t.column("p")[0].as_py() == t.column("q")[0].as_py()
 
 
+def _set_links(t: pa.Table, similarity: float) -> pa.RecordBatch:
+    """Spanning links of the similar sets of one group: each set counts what it shares with all others by their common shingles."""
+    node, names = t.column("node").to_numpy(), t.column("names").combine_chunks()
+    size = names.value_lengths().to_numpy().astype(np.int64)
+    at = np.concatenate(([0], np.cumsum(size)))
+    name = np.unique(names.flatten().to_numpy(), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(node)), size)[np.argsort(name, kind="stable")]
+    first = np.concatenate(([0], np.cumsum(np.bincount(name))))
+    left, out = np.ones(len(node), bool), []
+    for start in range(len(node)):
+        seen = [start] if left[start] else []
+        left[start] = False
+        while seen:
+            i = seen.pop()
+            common = np.bincount(np.concatenate([holders[first[x] : first[x + 1]] for x in name[at[i] : at[i + 1]]]), minlength=len(node))
+            alike = np.flatnonzero(left & (common >= similarity * (size[i] + size - common)))
+            left[alike] = False
+            seen.extend(alike.tolist())
+            out.extend((i, j) for j in alike.tolist())
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
+
+
+def _small_links(own: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that join all similar small sets. own: node, names. Equal sets are one; of a set of n, the first n - s n + 1 shingles hold one of any set of similarity s."""
+    small = own.where(F.col("names").isNotNull()).select("node", "names")
+    sets = materialize(small.groupBy("names").agg(F.min("node").alias("rep")), "small-sets")
+    copies = small.hint("merge").join(sets, "names").where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    words = sets.select(F.col("rep").alias("node"), F.explode("names").alias("h"))
+    common = materialize(words.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > COMMON), "small-common")
+    ranked = words.join(few(common), "h", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h"))).alias("s"))
+    reach = F.size("s") - F.ceil(F.size("s") * similarity - 1e-9).cast("int") + 1
+    rows = materialize(ranked.select("node", F.col("s.h").alias("names"), F.explode(F.slice("s.h", F.lit(1), reach)).alias("h")), "small-keys")
+    chunks = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / tile).cast("int").alias("m"))
+    rows = rows.join(chunks, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    met = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("own", j).alias("p"), F.greatest("own", j).alias("q"))))
+    rows = rows.withColumn("t", met).select("node", "names", "h", "t.p", "t.q").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_group(batches, ["h", "p", "q"], lambda t: _set_links(t, similarity))
+
+    return copies.unionByName(rows.mapInArrow(run, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of documents that are linked to one with a smaller id; component is the smallest id of the group."""
     spark = docs.sparkSession
-    own = fingerprints(docs, k, id_col, text_col, wide=True).where("n > 0").select(F.col("doc_id").alias("node"), "fp", "fp2", "n").withColumn("band", _bands(similarity))
+    own = fingerprints(docs, k, id_col, text_col, wide=True, named=math.floor(SMALL / similarity + 1e-9)).where("n > 0").select(F.col("doc_id").alias("node"), "fp", "fp2", "n", "names").withColumn("band", _bands(similarity))
     own = materialize(own, "sketches")
     bounded_arrow(spark, 16000)
+    small = materialize(_small_links(own, similarity), "small-links")
+    own = own.where(F.col("n") > SMALL).drop("names")
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(t: pa.Table) -> pa.RecordBatch:
@@ -328,7 +382,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius
         yield from _by_group(batches, ["g", "p", "q"], work)
 
     edges = _in_tiles(full, similarity, 8).select("node", "fp", "fp2", "n", "names", "g", "p", "q", "side").mapInArrow(link, "a long, b long")
-    return components(edges, "near-links")
+    return components(edges.unionByName(small), "near-links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

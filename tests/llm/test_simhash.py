@@ -110,6 +110,50 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == sorted(set(want))
 
 
+def _kept(spark, texts):
+    rows = [(i, t, "en", "s", None, None, "c", None, 1) for i, t in enumerate(texts)]
+    return sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect())
+
+
+def test_repeats_of_a_line_do_not_hide_near_duplicates(spark):
+    rnd = random.Random(21)
+    texts = []
+    for i in range(24):
+        words, line = [" ".join(f"w{rnd.randint(0, 99999)}" for _ in range(n)) for n in (100, 12)]
+        texts += [f"{words} {line}", words + f" {line}" * (5, 10, 20, 40)[i % 4]]  # similarity 0.9 at least
+    assert _kept(spark, texts) == list(range(0, len(texts), 2))
+
+
+def test_small_sets_are_linked_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON", 8, raising=False)
+    rnd = random.Random(22)
+    word = lambda: f"w{rnd.randint(0, 99999)}"
+    texts = []
+    for n in (8, 8, 8, 16, 24, 34):  # words: 4, 12, 20, 30 shingles, and a fourth of them more
+        for _ in range(60):
+            w = [word() for _ in range(n)]
+            texts += [" ".join(w), " ".join(w + [word() for _ in range((n - 4) // 4)])]
+    shared = "one line that very many texts of this small table share"
+    hot = [f"{shared} " + " ".join(word() for _ in range(4)) for _ in range(30)]  # 7 of 11 shingles in common: no links
+    assert _kept(spark, [*texts, *hot]) == [*range(0, len(texts), 2), *range(len(texts), len(texts) + len(hot))]
+
+
+def test_small_links_in_chunks_equal_brute_force(spark):
+    rnd = random.Random(23)
+    sets = [sorted(rnd.sample(range(12), rnd.randint(1, 12))) for _ in range(250)]
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = set(sets[i]), set(sets[j])
+            if len(a & b) >= 0.8 * len(a | b) and want[i] != want[j]:
+                x, y = sorted((want[i], want[j]))
+                want = [x if z == y else z for z in want]
+    own = spark.createDataFrame(list(enumerate(sets)), "node long, names array<long>")
+    for tile in (4096, 7):
+        got = {r["node"]: r["component"] for r in simhash.components(simhash._small_links(own, 0.8, tile)).collect()}
+        assert [got.get(i, i) for i in range(len(sets))] == want
+
+
 def test_odd_rows_survive_near_dedup(spark):
     out = simhash.drop_near_duplicates(frame(spark))
     assert out.columns == frame(spark).columns
