@@ -1,14 +1,16 @@
 """Quality classifier (operator 8): a label model over heuristics teaches a hashed linear scorer.
 
-1. Overlapping heuristic labellers vote low or fine on every document, or abstain on texts too
-   short for them. The votes of all documents are counted by pattern (at most 3 ** 6 patterns).
+1. Overlapping heuristic labellers vote low or fine on every document with words. Those that need a
+   run of words or letters (capitals, stutter, poor) abstain on texts too short for them. The votes of all documents are counted by pattern (at most 3 ** 6 patterns).
 2. Expectation-maximisation over the pattern counts estimates the share of low documents and
    each labeller's accuracy in both classes, and so the posterior of every pattern. No true labels are used.
 3. The posteriors of a bounded sample (SAMPLE rows about, dealt by a hash of the id; the only sampled
    step) train a logistic scorer on hashed frequencies of 4-grams of character classes.
-4. The scorer judges every whole document; a score of THRESHOLD or more rejects it.
+4. The scorer judges every whole document; a score of THRESHOLD or more rejects it. A text of under
+   LEAST_WORDS words and LEAST_BYTES bytes has too few 4-grams for their frequencies to tell; the posterior of its votes
+   is its score.
 
-Null and empty texts get no votes (all abstain) and are kept: there is nothing against them. Repeated
+Null, empty and blank texts get no votes (all abstain) and are kept: there is nothing against them. Repeated
 rows get equal scores. With an empty table, or too few low posteriors to learn from, the scorer is the
 posterior itself. Only the id and the text are read.
 """
@@ -30,6 +32,9 @@ PIECE_BYTES = 1 << 19
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "torn", "capitals", "separators", "stutter", "poor")
 LEAST_WORDS = 8
+#: A text of fewer words is as long as one of LEAST_WORDS if it has so many bytes, or letters.
+LEAST_BYTES = 64
+LEAST_LETTERS = 40
 #: A labeller votes low above the second value, fine below the first, and else abstains.
 BOUNDS = {"symbols": (0.01, 0.04), "torn": (0.05, 0.2), "capitals": (0.2, 0.4), "separators": (0.02, 0.1), "stutter": (0.1, 0.3), "poor": (0.6, 0.8)}
 
@@ -54,6 +59,11 @@ def _per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def votes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(texts, labellers): 1 low, 0 fine, -1 abstains."""
+    return votes_and_words(raw, at)[0]
+
+
+def votes_and_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The votes and the number of words of each text."""
     starts, ends, n = rolling.words(raw, at)
     of = rolling.spans_of_counts(n)
     share = lambda flags: _per_text(flags, of) / np.maximum(n, 1)
@@ -66,7 +76,8 @@ def votes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     last = np.minimum(ends - 1, len(raw) - 1)
     torn = (ends - starts >= 3) & ~LETTER[raw[last]] & ~LETTER[raw[np.maximum(last - 1, 0)]] & (CLASS[raw[last]] != 3)
     bare = (ends - starts == 1) & SYMBOL[raw[starts]] if len(raw) else np.zeros(0, bool)
-    upper = _per_text(CLASS[raw] == 2, at) / np.maximum(_per_text((CLASS[raw] == 1) | (CLASS[raw] == 2), at), 1)
+    letters = _per_text((CLASS[raw] == 1) | (CLASS[raw] == 2), at)
+    upper = _per_text(CLASS[raw] == 2, at) / np.maximum(letters, 1)
     values = {"symbols": _per_text(SYMBOL[raw], at) / size, "torn": share(torn), "capitals": upper, "separators": share(bare), "stutter": share(same)}
     # poor: share of words that have come before within the last 64 words
     owner = np.repeat(np.arange(len(n)), n)
@@ -81,8 +92,12 @@ def votes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         low, high = BOUNDS[k]
         out[values[k] <= low, i] = 0
         out[values[k] >= high, i] = 1
-    out[n < LEAST_WORDS] = -1
-    return out
+    few = n < LEAST_WORDS
+    out[few & (letters < LEAST_LETTERS), LABELLERS.index("capitals")] = -1
+    for k in ("stutter", "poor"):
+        out[few, LABELLERS.index(k)] = -1
+    out[n == 0] = -1
+    return out, n
 
 
 def pattern_of(v: np.ndarray) -> np.ndarray:
@@ -226,10 +241,11 @@ def _classify(docs: DataFrame, sample: int, id_col: str, text_col: str, threshol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, PIECE_BYTES):
             raw, at = text_bytes(b.column("text"))
-            v = votes(raw, at)
+            v, n = votes_and_words(raw, at)
             posterior = model.posterior(v)
-            score = posterior.copy() if scorer is None else scorer.score(raw, at, v)
-            score[(v < 0).all(axis=1)] = 0.0
+            short = (n < LEAST_WORDS) & (np.diff(at) < LEAST_BYTES)
+            score = posterior.copy() if scorer is None else np.where(short, posterior, scorer.score(raw, at, v))
+            score[n == 0] = 0.0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((v == 1).sum(axis=1)), pa.array(posterior.round(6)), pa.array(score.round(6)), pa.array(score < threshold)], names=["doc_id", "n_low", "posterior", "score", "keep"])
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_low long, posterior double, score double, keep boolean")

@@ -191,6 +191,33 @@ def test_quality_of_odd_rows(spark):
     assert quality.classify(frame(spark, [])).count() == 0
 
 
+def _prose(rnd, n):
+    return " ".join(rnd.choice(["anth", "of", "the", "ered", "ion", "tha", "ingen", "re", "ou", "wher"]) + rnd.choice(["", "a", "er", "an", "st"]) for _ in range(n)) + "."
+
+
+def _junk(rnd, n):
+    return " ".join(w + rnd.choice(["###", "$$$", "&&&"]) for w in _prose(rnd, n).split())
+
+
+def test_quality_of_short_texts(spark):
+    rnd = random.Random(8)
+    fine = [_prose(rnd, rnd.randint(30, 200)) for _ in range(120)] + [_prose(rnd, n) for n in range(1, 8)] + ["De.", "In. The.", None, "", " "]
+    low = [_junk(rnd, 80) for _ in range(25)] + [_junk(rnd, n) for n in range(2, 8)] + ["$$$".join(_prose(rnd, 60).split())]  # the last has no blanks
+    rows = [(i, t, "en", "s", None, None, "c", None, 1) for i, t in enumerate(fine + low)]
+    keep = {r["doc_id"]: r["keep"] for r in quality.classify(frame(spark, rows)).collect()}
+    assert [keep[i] for i in range(len(rows))] == [True] * len(fine) + [False] * len(low)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/labels.parquet"), reason="no labelled table here")
+def test_quality_of_short_labelled_texts(spark):
+    d = "/root/testdata/sf0.1"
+    got = queries.op8_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
+    got = got.where(F.size(F.split(F.trim("text"), r"\s+")) < 8).toPandas()
+    good, low = got[got.quality == 1], got[got.quality == 0]
+    assert len(good) == 51 and good.keep.all()
+    assert len(low) == 7 and (~low.keep).sum() >= 6  # one is plain prose
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/labels.parquet"), reason="no labelled table here")
 def test_quality_against_labels(spark):
     d = "/root/testdata/sf0.01"
