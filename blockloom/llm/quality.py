@@ -4,8 +4,8 @@
    run of words or letters (capitals, stutter, poor) abstain on texts too short for them. The votes of all documents are counted by pattern (at most 3 ** 6 patterns).
 2. Expectation-maximisation over the pattern counts estimates the share of low documents and
    each labeller's accuracy in both classes, and so the posterior of every pattern. No true labels are used.
-3. The posteriors of a bounded sample (SAMPLE rows about, dealt by a hash of the id; the only sampled
-   step) train a logistic scorer on hashed frequencies of 4-grams of character classes.
+3. The posteriors of a bounded sample (SAMPLE rows about, dealt by a hash of the id, and where the corpus has them
+   CLASS_ROWS rows about of the rarer class; the only sampled step) train a logistic scorer on hashed frequencies of 4-grams of character classes.
 4. The scorer judges every whole document; a score of THRESHOLD or more rejects it. A text of under
    LEAST_WORDS words and LEAST_BYTES bytes has too few 4-grams for their frequencies to tell; the posterior of its votes
    is its score.
@@ -27,6 +27,7 @@ from . import rolling
 from .common import bounded_arrow, few, id_or_stand_in, keyed, materialize, pieces, real_id, text_bytes
 
 SAMPLE = 6000
+CLASS_ROWS = 500
 BUCKETS = 4096
 PIECE_BYTES = 1 << 19
 THRESHOLD = 0.5
@@ -205,19 +206,36 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     model = LabelModel.fit(v, count)
 
     deal = 1 << 30
-    part = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(deal)) < int(min(deal, deal * sample / count.sum())))
-
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, PIECE_BYTES):
-            raw, at = text_bytes(b.column("text"))
-            v = votes(raw, at)
-            text, place, value = features(raw, at, v)
-            order = np.argsort(text, kind="stable")
-            cut = np.searchsorted(text[order], np.arange(1, len(at) - 1))
-            ps, vs = np.split(place[order].astype("<i2"), cut), np.split(value[order].astype("<f4"), cut)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pattern_of(v)), pa.array([x.tobytes() for x in ps], pa.binary()), pa.array([x.tobytes() for x in vs], pa.binary())], names=["doc_id", "pattern", "place", "value"])
-
-    got = sorted(part.mapInArrow(sparse, "doc_id long, pattern long, place binary, value binary").collect(), key=lambda r: r["doc_id"])
+    place_of = F.pmod(F.xxhash64("doc_id"), F.lit(deal))
+    cut = int(min(deal, deal * sample / count.sum()))
+
+    def dealt(part: DataFrame, only: np.ndarray | None = None) -> list:
+        def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, PIECE_BYTES):
+                raw, at = text_bytes(b.column("text"))
+                v = votes(raw, at)
+                if only is not None:
+                    keep = np.isin(pattern_of(v), only)
+                    if not keep.any():
+                        continue
+                    b, v = b.filter(pa.array(keep)), v[keep]
+                    raw, at = text_bytes(b.column("text"))
+                text, place, value = features(raw, at, v)
+                order = np.argsort(text, kind="stable")
+                cut = np.searchsorted(text[order], np.arange(1, len(at) - 1))
+                ps, vs = np.split(place[order].astype("<i2"), cut), np.split(value[order].astype("<f4"), cut)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pattern_of(v)), pa.array([x.tobytes() for x in ps], pa.binary()), pa.array([x.tobytes() for x in vs], pa.binary())], names=["doc_id", "pattern", "place", "value"])
+
+        return part.mapInArrow(sparse, "doc_id long, pattern long, place binary, value binary").collect()
+
+    got = dealt(own.where(place_of < cut))
+    low = model.posterior(v) > 0.5
+    for patterns_of, n in ((pattern_of(v[c]), count[c].sum()) for c in (low, ~low)):
+        # a class that is rare in the sample is dealt by a wider cut, over all data
+        wide = int(min(deal, deal * CLASS_ROWS / max(n, 1)))
+        if wide > cut and n:
+            got += dealt(own.where((place_of >= cut) & (place_of < wide)), patterns_of)
+    got = sorted(got, key=lambda r: r["doc_id"])
     if not got:
         return model, None
     y = model.posterior(votes_of(np.array([r["pattern"] for r in got])))

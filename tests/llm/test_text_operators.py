@@ -208,6 +208,16 @@ def test_quality_of_short_texts(spark):
     assert [keep[i] for i in range(len(rows))] == [True] * len(fine) + [False] * len(low)
 
 
+def test_scorer_is_trained_on_rare_low_documents(spark):
+    rnd = random.Random(9)
+    texts = [_prose(rnd, 30) for _ in range(1500)] + [_junk(rnd, 30) for _ in range(30)]
+    rows = [(i, t, "en", "s", None, None, "c", None, 1) for i, t in enumerate(texts)]
+    model, scorer = quality.fit(frame(spark, rows), sample=60)  # one or two of the low ones are in a plain sample
+    assert scorer is not None
+    keep = {r["doc_id"]: r["keep"] for r in quality.classify(frame(spark, rows), sample=60).collect()}
+    assert [keep[i] for i in range(len(rows))] == [i < 1500 for i in range(len(rows))]
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/labels.parquet"), reason="no labelled table here")
 def test_quality_of_short_labelled_texts(spark):
     d = "/root/testdata/sf0.1"
