@@ -9,7 +9,8 @@ in a pair table. Results equal merging by rank.
 
 Null text counts as empty (no ids, empty text). A special token's string in a text becomes its
 id, as the tokenizers library does by default. Repeated rows give equal rows; an empty table gives
-none. Texts are never cut. Columns other than the id and the text are not read.
+none. Texts are never cut. Columns other than the id and the text are not read. Tokenizers with a normalizer, with another
+pre-tokenizer or with added tokens that strip or want whole words are refused.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .common import bounded_arrow, keyed, pieces, ragged, real_id, spans_of
+from .common import keyed, materialize, pieces, ragged, spans_of
 from .pieces import PieceMemory
 
 # Fixed value: the pre-tokenizer pattern of byte-level BPE.
@@ -46,6 +47,10 @@ class Coder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        odd = [t["content"] for t in spec["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+        before = spec.get("pre_tokenizer") or {}
+        if odd or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"{path}: only byte-level BPE without a normalizer and with plain added tokens is known here {odd}")
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         ids = {raw(k): v for k, v in spec["model"]["vocab"].items()}
@@ -174,7 +179,6 @@ def coder(path: str) -> Coder:
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and the decoded text."""
-    bounded_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(tokenizer)
@@ -193,4 +197,4 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     more = ", ids array<int>, decoded string" if with_ids else ""
     out = keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
-    return out.select(real_id(), *[F.col(c) for c in out.columns[1:]])
+    return materialize(out, "bpe")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import rolling
-from .common import bounded_arrow, id_or_stand_in, keyed, materialize, pieces, ragged, real_id, spans_of
+from .common import discard, keyed, materialize, numbered, pieces, ragged, spans_of, text_of, unused
 
 WINDOW = 10
 SAMPLED = 8
@@ -47,22 +47,30 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """Distinct windows of a block of items, by length, with the items of each."""
+    """Distinct windows of a block of items, by length, with the items of each: all in arrays, for a block has a million windows."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.code: dict[bytes, int] = {}
-        at: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            w = [self.code.setdefault(x, len(self.code) + 1) for x in words_of(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                at.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.items = [sorted(s) for s in at.values()]
+        self.names = sorted({item for item, _ in items})
+        number = {x: i for i, x in enumerate(self.names)}
+        words = [np.array([self.code.setdefault(x, len(self.code) + 1) for x in words_of(text)], np.int32) for _, text in items]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in sorted({len(p) for p in at}):
-            own = [(i, p) for i, p in enumerate(at) if len(p) == n]
-            self.by_length[n] = np.array([i for i, _ in own]), np.array([p for _, p in own], np.int64).reshape(-1, n)
+        lengths, pairs = [], []
+        for n in sorted({min(len(w), window) for w in words} - {0}):
+            own = [(number[item], np.lib.stride_tricks.sliding_window_view(w, n)) for (item, _), w in zip(items, words) if min(len(w), window) == n]
+            rows, code = np.unique(np.concatenate([v for _, v in own]), axis=0, return_inverse=True)
+            ids = len(lengths) + np.arange(len(rows))
+            pairs.append(np.stack([ids[code.ravel()], np.repeat([i for i, _ in own], [len(v) for _, v in own])]))
+            self.by_length[n] = ids, rows.astype(np.int64)
+            lengths += [n] * len(rows)
         self.shortest = min(self.by_length, default=0)
-        self.length = np.array([len(p) for p in at], np.int64)
+        self.length = np.array(lengths, np.int64)
+        phrase, item = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
+        self.at, self.item = spans_of(np.bincount(phrase, minlength=len(lengths))), item
+
+    def items_of(self, phrases: np.ndarray) -> set[str]:
+        """The items that have one of some phrases."""
+        return {self.names[i] for p in set(phrases.tolist()) for i in self.item[self.at[p] : self.at[p + 1]].tolist()}
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -218,40 +226,44 @@ class Benchmark:
         own = self.items.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.blocks)) == block)
         return Phrases([(r["item"], r["text"].encode()) for r in own.collect()], self.window)
 
+    def sent(self, block: int):
+        """A block's phrases as a broadcast: once for each executor, not for each task."""
+        return self.items.sparkSession.sparkContext.broadcast(self.phrases(block))
+
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _block_hits(keys: DataFrame, benchmark: Benchmark) -> DataFrame:
-    """keys: (doc_id, th, text). For several blocks: the occurrences of every document that has any, block after block, each written before the next begins."""
-    schema = "doc_id long, th long, first array<int>, length array<int>, items array<string>"
+def _grouped(text: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """Texts that have an occurrence, and their parts of each column."""
+    order = np.argsort(text, kind="stable")
+    own, first = np.unique(text[order], return_index=True)
+    return own, [np.split(c[order], first[1:]) if len(own) else [] for c in columns]
+
+
+def _block_hits(rows: DataFrame, benchmark: Benchmark) -> DataFrame:
+    """rows: (row, text). For several blocks: the occurrences of every document that has any, block after block, each written before the next begins."""
+    schema = "row long, first array<int>, length array<int>, items array<string>"
     out = None
     for block in range(benchmark.blocks):
-        phrases = benchmark.phrases(block)
+        sent = benchmark.sent(block)
 
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            phrases = sent.value
             for b in pieces(batches, SHARD_BYTES):
                 _, text, first, which = shard_hits(_bytes(b.column("text")), phrases)
-                order = np.argsort(text, kind="stable")
-                text, first, which = text[order], first[order], which[order]
-                own = np.unique(text)
-                cut_at = np.searchsorted(text, own[1:])
-                groups = np.split(which, cut_at) if len(own) else []
+                own, (firsts, groups) = _grouped(text, first, which)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").take(pa.array(own)), b.column("th").take(pa.array(own)),
-                        pa.array(np.split(first, cut_at) if len(own) else [], pa.list_(pa.int32())), pa.array([phrases.length[g] for g in groups], pa.list_(pa.int32())),
-                        pa.array([sorted({x for p in set(g.tolist()) for x in phrases.items[p]}) for g in groups], pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "th", "first", "length", "items"],
-                )
-
-        found = materialize(keys.mapInArrow(run, schema), "block-hits")
+                    [b.column("row").take(pa.array(own)), pa.array(firsts, pa.list_(pa.int32())), pa.array([phrases.length[g] for g in groups], pa.list_(pa.int32())), pa.array([sorted(phrases.items_of(g)) for g in groups], pa.list_(pa.string()))],
+                    names=["row", "first", "length", "items"],
+                )
+
+        found = materialize(rows.mapInArrow(run, schema), "block-hits")
+        sent.unpersist()
         out = found if out is None else out.unionByName(found)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    # rows that repeat give the same occurrences again, which changes nothing
-    return out.groupBy("doc_id", "th").agg(flat("first"), flat("length"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return out.groupBy("row").agg(flat("first"), flat("length"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def _of_lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,31 +290,35 @@ def _summary(ids: pa.Array, n: np.ndarray, text: np.ndarray, first: np.ndarray,
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first:end in words) of every row."""
-    bounded_arrow(docs.sparkSession)
     items = Benchmark(benchmark, window, item_col, item_text_col)
     rows = keyed(docs, id_col, text_col)
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
     if items.blocks == 1:
-        phrases = items.phrases(0)
+        sent = items.sent(0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases = sent.value
             for b in pieces(batches, SHARD_BYTES):
                 n, text, first, which = shard_hits(_bytes(b.column("text")), phrases)
                 found: list[set] = [set() for _ in range(len(n))]
-                for t, p in zip(*np.unique(np.stack([text, which]), axis=1).tolist()):
-                    found[t].update(phrases.items[p])
+                own, (groups,) = _grouped(text, which)
+                for t, g in zip(own.tolist(), groups):
+                    found[t] = phrases.items_of(g)
                 yield _summary(b.column("doc_id"), n, text, first, phrases.length[which], found)
 
-    else:
-        rows = rows.withColumn("th", F.xxhash64("text"))
-        rows = rows.join(_block_hits(rows, items), ["doc_id", "th"], "left")
+        out = materialize(rows.mapInArrow(run, schema), "contamination")
+        sent.unpersist()
+        return out
+    rows, _ = numbered(rows)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches, SHARD_BYTES):
-                n = np.array([len(words_of(t)) for t in _bytes(b.column("text"))], np.int64)
-                yield _summary(b.column("doc_id"), n, *_of_lists(b), [set(x or ()) for x in b.column("items").to_pylist()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, SHARD_BYTES):
+            n = np.array([len(words_of(t)) for t in _bytes(b.column("text"))], np.int64)
+            yield _summary(b.column("doc_id"), n, *_of_lists(b), [set(x or ()) for x in b.column("items").to_pylist()])
 
-    out = rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
-    return out.select(real_id(), *out.columns[1:])
+    out = materialize(rows.join(_block_hits(rows.select("row", "text"), items), "row", "left").mapInArrow(run, schema), "contamination")
+    discard(rows)
+    return out
 
 
 def cut(text: bytes, hit: np.ndarray) -> bytes:
@@ -334,28 +350,32 @@ def _without(b: pa.RecordBatch, text_col: str, n: np.ndarray, text: np.ndarray,
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs with the spans removed from the texts; all rows and columns stay, and n_chars, where it is a column, is counted anew for the texts that change."""
-    bounded_arrow(docs.sparkSession)
     items = Benchmark(benchmark, window, item_col, item_text_col)
     if items.blocks == 1:
-        phrases = items.phrases(0)
+        sent = items.sent(0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases = sent.value
             for b in pieces(batches, SHARD_BYTES, text_col):
                 n, text, first, which = shard_hits(_bytes(b.column(text_col)), phrases)
                 yield _without(b, text_col, n, text, first, phrases.length[which])
 
-        return docs.mapInArrow(run, docs.schema)
+        out = materialize(docs.mapInArrow(run, docs.schema), "decontaminated")
+        sent.unpersist()
+        return out
     # all blocks are judged on the input, then everything goes at once
-    hits = _block_hits(keyed(docs, id_col, text_col).withColumn("th", F.xxhash64("text")), items)
-    hits = hits.select(*[F.col(c).alias(f"__{c}") for c in hits.columns])
-    own = docs.withColumn("__k", id_or_stand_in(id_col, text_col)).withColumn("__t", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    own = own.join(hits, (F.col("__k") == F.col("__doc_id")) & (F.col("__t") == F.col("__th")), "left").drop("__k", "__t", "__doc_id", "__th", "__items")
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
+    docs, row = numbered(docs)
+    texts = docs.select(F.col(row).alias("row"), text_of(text_col).alias("text"))
+    hits = _block_hits(texts, items).select(F.col("row").alias(row), F.struct("first", "length").alias(found := unused(docs, "found")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, SHARD_BYTES, text_col):
             n = np.array([len(words_of(t)) for t in _bytes(b.column(text_col))], np.int64)
-            lists = pa.RecordBatch.from_arrays([b.column("__first"), b.column("__length")], names=["first", "length"])
+            lists = [x or {} for x in b.column(found).to_pylist()]
+            lists = pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in lists], pa.list_(pa.int32())) for c in ("first", "length")], names=["first", "length"])
             yield _without(b.select(names), text_col, n, *_of_lists(lists))
 
-    return own.mapInArrow(run, docs.schema)
+    out = materialize(docs.join(hits, row, "left").mapInArrow(run, schema), "decontaminated")
+    discard(docs)
+    return out

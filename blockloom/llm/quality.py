@@ -4,14 +4,14 @@
    run of words or letters (capitals, stutter, poor) abstain on texts too short for them. The votes of all documents are counted by pattern (at most 3 ** 6 patterns).
 2. Expectation-maximisation over the pattern counts estimates the share of low documents and
    each labeller's accuracy in both classes, and so the posterior of every pattern. No true labels are used.
-3. The posteriors of a bounded sample (SAMPLE rows about, dealt by a hash of the id, and where the corpus has them
+3. The posteriors of a bounded sample (SAMPLE rows about, dealt by a hash of the row, and where the corpus has them
    CLASS_ROWS rows about of the rarer class; the only sampled step) train a logistic scorer on hashed frequencies of 4-grams of character classes.
 4. The scorer judges every whole document; a score of THRESHOLD or more rejects it. A text of under
    LEAST_WORDS words and LEAST_BYTES bytes has too few 4-grams for their frequencies to tell; the posterior of its votes
    is its score.
 
 Null, empty and blank texts get no votes (all abstain) and are kept: there is nothing against them. Repeated
-rows get equal scores. With an empty table, or too few low posteriors to learn from, the scorer is the
+rows get equal scores. Very long texts are judged whole, one at a time. With an empty table, or too few low posteriors to learn from, the scorer is the
 posterior itself. Only the id and the text are read.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import rolling
-from .common import bounded_arrow, few, id_or_stand_in, keyed, materialize, pieces, real_id, text_bytes
+from .common import keyed, materialize, pieces, settings, text_bytes
 
 SAMPLE = 6000
 CLASS_ROWS = 500
@@ -190,9 +190,11 @@ class Scorer:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[LabelModel, Scorer | None]:
-    spark = docs.sparkSession
-    bounded_arrow(spark)
-    own = keyed(docs, id_col, text_col)
+    with settings(docs.sparkSession):
+        return _fit(keyed(docs, id_col, text_col), sample)
+
+
+def _fit(own: DataFrame, sample: int) -> tuple[LabelModel, Scorer | None]:
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, PIECE_BYTES):
@@ -206,7 +208,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     model = LabelModel.fit(v, count)
 
     deal = 1 << 30
-    place_of = F.pmod(F.xxhash64("doc_id"), F.lit(deal))
+    own = own.withColumn("place", F.xxhash64("doc_id", "text"))
+    place_of = F.pmod("place", F.lit(deal))
     cut = int(min(deal, deal * sample / count.sum()))
 
     def dealt(part: DataFrame, only: np.ndarray | None = None) -> list:
@@ -224,9 +227,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
                 order = np.argsort(text, kind="stable")
                 cut = np.searchsorted(text[order], np.arange(1, len(at) - 1))
                 ps, vs = np.split(place[order].astype("<i2"), cut), np.split(value[order].astype("<f4"), cut)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pattern_of(v)), pa.array([x.tobytes() for x in ps], pa.binary()), pa.array([x.tobytes() for x in vs], pa.binary())], names=["doc_id", "pattern", "place", "value"])
+                yield pa.RecordBatch.from_arrays([b.column("place"), pa.array(pattern_of(v)), pa.array([x.tobytes() for x in ps], pa.binary()), pa.array([x.tobytes() for x in vs], pa.binary())], names=["row", "pattern", "place", "value"])
 
-        return part.mapInArrow(sparse, "doc_id long, pattern long, place binary, value binary").collect()
+        # rows that repeat count once, so that the sample has a bound whatever repeats
+        return part.mapInArrow(sparse, "row long, pattern long, place binary, value binary").dropDuplicates(["row"]).collect()
 
     got = dealt(own.where(place_of < cut))
     low = model.posterior(v) > 0.5
@@ -235,7 +239,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         wide = int(min(deal, deal * CLASS_ROWS / max(n, 1)))
         if wide > cut and n:
             got += dealt(own.where((place_of >= cut) & (place_of < wide)), patterns_of)
-    got = sorted(got, key=lambda r: r["doc_id"])
+    got = sorted(got, key=lambda r: r["row"])
     if not got:
         return model, None
     y = model.posterior(votes_of(np.array([r["pattern"] for r in got])))
@@ -247,30 +251,41 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     return model, Scorer.fit(x, y)
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_low (labellers that say low), posterior, score, keep of every row."""
-    out = _classify(docs, sample, id_col, text_col, threshold)
-    return out.select(real_id(), *out.columns[1:])
+class Judge:
+    """What the scorer says about the texts of a piece."""
+
+    def __init__(self, model: LabelModel, scorer: Scorer | None):
+        self.model, self.scorer = model, scorer
 
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Labellers that say low, posterior and score of each text."""
+        raw, at = text_bytes(column)
+        v, n = votes_and_words(raw, at)
+        posterior = self.model.posterior(v)
+        short = (n < LEAST_WORDS) & (np.diff(at) < LEAST_BYTES)
+        score = posterior.copy() if self.scorer is None else np.where(short, posterior, self.scorer.score(raw, at, v))
+        score[n == 0] = 0.0
+        return (v == 1).sum(axis=1), posterior, score
 
-def _classify(docs: DataFrame, sample: int, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    model, scorer = fit(docs, sample, id_col, text_col)
+
+def classify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_low (labellers that say low), posterior, score, keep of every row."""
+    judge = Judge(*fit(docs, sample, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, PIECE_BYTES):
-            raw, at = text_bytes(b.column("text"))
-            v, n = votes_and_words(raw, at)
-            posterior = model.posterior(v)
-            short = (n < LEAST_WORDS) & (np.diff(at) < LEAST_BYTES)
-            score = posterior.copy() if scorer is None else np.where(short, posterior, scorer.score(raw, at, v))
-            score[n == 0] = 0.0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((v == 1).sum(axis=1)), pa.array(posterior.round(6)), pa.array(score.round(6)), pa.array(score < threshold)], names=["doc_id", "n_low", "posterior", "score", "keep"])
+            low, posterior, score = judge.of(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(low), pa.array(posterior.round(6)), pa.array(score.round(6)), pa.array(score < threshold)], names=["doc_id", "n_low", "posterior", "score", "keep"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_low long, posterior double, score double, keep boolean")
+    return materialize(keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_low long, posterior double, score double, keep boolean"), "quality")
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier keeps."""
-    low = _classify(docs, sample, id_col, text_col, threshold).where("not keep").select(F.col("doc_id").alias("__low")).distinct()
-    low = materialize(low, "low-quality")
-    return docs.join(few(low), id_or_stand_in(id_col, text_col) == F.col("__low"), "left_anti")
+    """The rows of docs that the classifier keeps: judged where they are, with all their columns."""
+    judge = Judge(*fit(docs, sample, id_col, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, PIECE_BYTES, text_col):
+            yield b.filter(pa.array(judge.of(b.column(text_col).fill_null(""))[2] < threshold))
+
+    return materialize(docs.mapInArrow(run, docs.schema), "good")

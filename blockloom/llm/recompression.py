@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .rolling import Rolling, mix
+from .rolling import mix, of_names
 
 ROUNDS = 2
 FAR = 1 << 40
@@ -108,4 +108,4 @@ def window_keys(names: np.ndarray, at: np.ndarray, window: int, most: int = 3, r
     start = np.arange(n) + left
     a = np.maximum(np.where(to_right, start, start - half), 0)
     b = np.minimum(np.where(to_right, start + size + half, start + size), n)
-    return Rolling(names).of(a, np.maximum(a, b)) ^ (key << np.uint64(56)) ^ to_right.astype(np.uint64)
+    return of_names(names).of(a, np.maximum(a, b)) ^ (key << np.uint64(56)) ^ to_right.astype(np.uint64)

@@ -3,33 +3,33 @@
 A method gives every window of a document a key that follows from the window's units alone, the
 same for stretches of neighbouring windows. Then:
 
-1. Each stretch becomes a record (key, hash of its context, document, place); the context is all its units.
-   Within a task, records whose context came before are known to recur and leave as ranges, so that a hot
-   passage sends one record for each task, not one for each copy.
-2. Records meet by key. Of equal contexts all but the first recur (a window of an equal context
-   begins earlier). Where one key has several contexts, windows may still be shared; the first
-   record of each context asks for a comparison. A key that has BUSY contexts within one piece of one task
-   would crowd one place (a line common to a third of all documents): its records meet by context instead,
-   all ask, and a sign at the key's own place makes the records of other tasks ask too.
-3. Contexts that ask are cut from the texts and compared by key, by the method's own exact means. A key with over
-   HOT contexts isn't compared in one task: its windows' 128-bit hashes are aggregated instead.
+1. Each stretch becomes a record (key, document, place); its context is all its units. Within a task, a record whose
+   context came before, compared byte by byte, is known to recur and leaves as a range, so that a hot
+   passage sends one record for each piece of a task, not one for each copy.
+2. Records meet by key. Where a key has company, its contexts are asked for. A key that has BUSY contexts within one
+   piece would crowd one place (a line common to a third of all documents): its records are dealt
+   by place instead, all ask, and a sign at the key's own place makes the records of other tasks ask too.
+3. Contexts that are asked for are cut from the texts and compared by key, by the method's own means. The contexts of a key that
+   over HOT records ask for go through the same steps once more, as texts of their own, with the whole window as the
+   key: so a hot key is split by what stands around it.
 4. Ranges are merged by document.
 
-Every equal pair of windows has one key, so none is missed; every range that is found
-recurs. Steps are written to the shared folder; nothing but counts comes to the driver.
+Every equal pair of windows has one key at either depth, so none is missed. Keys are hashes and only bring contexts
+together: no range is removed but by a comparison of bytes or words. HOT and BUSY change where the work is done, never
+a result. Steps are written to the shared folder; nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_arrow, materialize, pieces, ragged, release, spans_of, text_bytes
+from .common import discard, few, materialize, numbers, pieces, ragged, rank_of, same_slices, spans_of, text_bytes
 from .rolling import Rolling, mix
 
 PIECE_BYTES = 2 << 20
@@ -38,6 +38,18 @@ HOT = 2_000
 BUSY = 8
 
 
+@dataclass(frozen=True)
+class Units:
+    """The units of all texts of a piece: canonical bytes, hashes of any run of them, offsets of texts, first and end byte of each unit."""
+
+    raw: np.ndarray
+    hashes: Callable[[], Rolling]
+    at: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    names: np.ndarray | None = None
+
+
 @dataclass(frozen=True)
 class Method:
     window: int
@@ -45,15 +57,17 @@ class Method:
     stretch: int
     #: only documents with a smaller id count as earlier, not earlier places of the same one
     other_document: bool
-    #: raw bytes, text offsets -> unit names (uint64, for hashing), unit offsets of texts
+    #: raw bytes, text offsets -> Units
     units: Callable
-    #: names, unit offsets -> key of the window at each unit
+    #: Units -> key of the window at each unit
     keys: Callable
-    #: raw bytes, text offsets, first and end units (in the piece's units) -> first and end bytes
-    cut: Callable
-    #: contexts (list of bytes), documents, places -> (row of each recurring window, first unit relative to its context)
+    #: contexts (list of bytes), ranks, rows, places -> (index of each recurring window's context, first unit relative to it)
     compare: Callable
 
+    def by_window(self) -> Method:
+        """The same comparison with whole windows as keys."""
+        return replace(self, stretch=1, keys=lambda u: u.hashes().of(np.arange(len(u.first)), np.minimum(np.arange(len(u.first)) + self.window, len(u.first))))
+
 
 def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges in order of document and place, overlapping or touching ones made one."""
@@ -71,29 +85,29 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 
 #: place: first unit, number of units and two flags in one number, for records are the bulk of what is shuffled.
-#: A known range's end stands in the place of the context's hash.
-RECORD = "key long, ctx long, doc_id long, place long"
+#: A known range's first and end unit stand in the place of its key.
+RECORD = "key long, piece long, place long"
 MOST_UNITS = 255
 PLAIN, KNOWN, SEVERAL, SIGN = range(4)
-FIRST = np.iinfo(np.int64).min
 
 
-def _record_batch(key, ctx, doc, lo, hi, flag: int) -> pa.RecordBatch:
+def _record_batch(key, piece, lo, hi, flag: int) -> pa.RecordBatch:
     lo, hi = lo.astype(np.int64), hi.astype(np.int64)
-    place = lo << 10 | flag if flag & KNOWN else lo << 10 | (hi - lo) << 2 | flag
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(hi if flag == KNOWN else ctx.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(place)], names=["key", "ctx", "doc_id", "place"])
+    key = lo << 31 | hi if flag == KNOWN else key.view(np.int64)
+    place = np.full(len(lo), flag) if flag == KNOWN else lo << 10 | (hi - lo) << 2 | flag
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(piece.astype(np.int64)), pa.array(place.astype(np.int64))], names=["key", "piece", "place"])
 
 
 def _records(method: Method, busy: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, PIECE_BYTES):
-            raw, at = text_bytes(b.column("text"))
-            names, ua = method.units(raw, at)
+            u = method.units(*text_bytes(b.column("text")))
+            ua = u.at
             count = np.maximum(np.diff(ua) - method.window + 1, 0)
             start = ragged(ua[:-1], count)
             if not len(start):
                 continue
-            key = method.keys(names, ua)[start]
+            key = method.keys(u)[start]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)))
             first = np.flatnonzero(new)
             size = np.diff(np.concatenate((first, [len(start)])))
@@ -102,124 +116,138 @@ def _records(method: Method, busy: int):
             run_first, run_size = np.repeat(first, many) + part * method.stretch, np.minimum(np.repeat(size, many) - part * method.stretch, method.stretch)
             lo = start[run_first]
             hi = lo + run_size - 1 + method.window
-            key, ctx = key[run_first], Rolling(names).of(lo, hi)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            text = np.searchsorted(ua, lo, side="right") - 1
-            lo, hi, doc = lo - ua[text], hi - ua[text], ids[text]
-            # equal contexts within the piece: by document, then place
-            order = np.argsort(doc, kind="stable") if (ids[1:] < ids[:-1]).any() else np.arange(len(doc))
+            key = key[run_first]
             with np.errstate(over="ignore"):
-                both = mix(key ^ mix(ctx))
+                both = mix(key ^ mix(u.hashes().of(lo, hi)))
+            text = np.searchsorted(ua, lo, side="right") - 1
+            rank, row, base = rank_of(numbers(b.column("late")), numbers(b.column("ord")))[text], numbers(b.column("row"))[text], numbers(b.column("base"))[text]
+            x, y = u.first[lo], u.end[hi - 1]
+            place = base + lo - ua[text]
+            # contexts that look equal within the piece: by document, then place
+            order = np.lexsort((place, rank)) if len(ua) > 2 and ((rank[1:] < rank[:-1]).any() or base.any()) else np.arange(len(lo))
             order = order[np.argsort(both[order], kind="stable")]
             head = np.concatenate(([True], both[order][1:] != both[order][:-1]))
-            of = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            known = doc[order] != doc[of]
+            of = np.empty(len(lo), np.int64)
+            of[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+            known = rank > rank[of]
             if not method.other_document:
-                known |= lo[order] != lo[of]
-            k, o = order[known], order[~known]
-            # keys with many contexts even here: their records are dealt by context, and a sign at the key's place says so
+                known |= (row == row[of]) & (place > place[of])
+            k = np.flatnonzero(known & (y - x == y[of] - x[of]))
+            # the hash found them, the bytes decide
+            k = k[same_slices(u.raw, x[k], x[of[k]], (y - x)[k])]
+            o = np.ones(len(lo), bool)
+            o[k] = False
+            o = np.flatnonzero(o)
+            lo, hi = lo - ua[text], hi - ua[text]
+            piece = numbers(b.column("piece"))[text]
+            # keys with many contexts even here: their records are dealt by place, and a sign at the key's place says so
             tops, contexts = np.unique(key[order[head]], return_counts=True)
             tops = tops[contexts >= busy]
             if len(tops):
                 hot = np.isin(key[o], tops)
                 h, o = o[hot], o[~hot]
-                yield _record_batch(key[h], ctx[h], doc[h], lo[h], hi[h], SEVERAL)
+                yield _record_batch(key[h], piece[h], lo[h], hi[h], SEVERAL)
                 zero = np.zeros(len(tops), np.int64)
-                yield _record_batch(tops, np.full(len(tops), FIRST), zero, zero, zero, SIGN)
-            yield _record_batch(key[o], ctx[o], doc[o], lo[o], hi[o], PLAIN)
+                yield _record_batch(tops, zero, zero, zero, SIGN)
+            yield _record_batch(key[o], piece[o], lo[o], hi[o], PLAIN)
             if len(k):
-                d, x, y = _merged(doc[k], lo[k], hi[k])
-                yield _record_batch(mix(d.astype(np.uint64)), None, d, x, y, KNOWN)
+                yield _record_batch(None, *_merged(piece[k], lo[k], hi[k]), KNOWN)
 
     return run
 
 
-MARK = "doc_id long, lo int, hi int, key long, known boolean"
+MARK = "piece long, lo int, hi int, key long, known boolean"
 
 
-def _mark_batch(doc, lo, hi, key, known: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(hi), pa.array(key), pa.array(np.full(len(doc), known))], names=["doc_id", "lo", "hi", "key", "known"])
+def _mark_batch(piece, lo, hi, key, known: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(key), pa.array(np.full(len(piece), known))], names=["piece", "lo", "hi", "key", "known"])
 
 
-def _marks(method: Method):
-    """Over records sorted by key, context, document and place. Holds back only the first context's records of the key at hand, until a second context comes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_ctx = least_doc = least_lo = None
-        several, held = False, []
-        for b in batches:
-            key, ctx, doc, place = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "ctx", "doc_id", "place"))
-            known, lo = (place & 3) == KNOWN, (place >> 10).astype(np.int32)
-            if known.any():
-                yield _mark_batch(doc[known], lo[known], ctx[known].astype(np.int32), key[known], True)
-                key, ctx, doc, lo, place = (x[~known] for x in (key, ctx, doc, lo, place))
-            hi = lo + (place >> 2 & MOST_UNITS).astype(np.int32)
-            sign = (place & 3) == SIGN  # first of its key, and in itself another context
-            if not len(key):
-                continue
-            new_key = np.concatenate(([key[0] != last_key], key[1:] != key[:-1]))
-            new_ctx = new_key | np.concatenate(([ctx[0] != last_ctx], ctx[1:] != ctx[:-1]))
-            of = np.maximum.accumulate(np.where(new_ctx, np.arange(len(key)), -1))
-            least = np.where(of >= 0, doc[of], doc[0] if least_doc is None else least_doc)
-            least_at = np.where(of >= 0, lo[of], lo[0] if least_lo is None else least_lo)
-            stands = doc == least
-            if not method.other_document:
-                stands &= lo == least_at
-            if not stands.all():
-                yield _mark_batch(doc[~stands], lo[~stands], hi[~stands], key[~stands], True)
-            part = np.cumsum(new_key)  # 0: goes on with the last key
-            seen = np.zeros(int(part[-1]) + 1, bool)
-            seen[part[new_ctx & ~new_key | ((place & SEVERAL) > 0)]] = True
-            seen[0] |= several
-            if part[0] or seen[0]:
-                if held and not part[0]:
-                    yield from held
-                held = []
-            elif part[-1] and not seen[0]:
-                held = []
-            ask = stands & seen[part] & ~sign
-            if ask.any():
-                yield _mark_batch(doc[ask], lo[ask], hi[ask], key[ask], False)
-            if not seen[-1]:
-                wait = stands & (part == part[-1])
-                if wait.any():
-                    held.append(_mark_batch(doc[wait], lo[wait], hi[wait], key[wait], False))
-            last_key, last_ctx, least_doc, least_lo, several = key[-1], ctx[-1], least[-1], least_at[-1], bool(seen[-1])
-
-    return run
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over records sorted by key: those whose key has company ask. Holds back one record at most, the first of the key at hand."""
+    last, held = None, None
+    for b in batches:
+        key, piece, place = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "piece", "place"))
+        known = (place & 3) == KNOWN
+        if known.any():
+            yield _mark_batch(piece[known], key[known] >> 31, key[known] & ((1 << 31) - 1), key[known], True)
+            key, piece, place = (x[~known] for x in (key, piece, place))
+        if not len(key):
+            continue
+        lo, flag = place >> 10, place & 3
+        hi = lo + (place >> 2 & MOST_UNITS)
+        part = np.cumsum(np.concatenate(([key[0] != last], key[1:] != key[:-1])))  # 0: goes on with the last key
+        count = np.bincount(part)
+        several = np.bincount(part, flag >= SEVERAL) > 0
+        company = (count > 1) | several
+        if not part[0]:
+            company[0] = True
+            if held is not None:
+                yield held
+        held = None
+        ask = company[part] & (flag != SIGN)
+        if ask.any():
+            yield _mark_batch(piece[ask], lo[ask], hi[ask], key[ask], False)
+        if not company[-1]:
+            held = _mark_batch(piece[-1:], lo[-1:], hi[-1:], key[-1:], False)
+        last = key[-1]
+
+
+CONTEXT = "key long, row long, late boolean, ord long, places array<int>, context binary, units int"
 
 
 def _contexts(method: Method):
+    """The contexts that a text is asked for, once each; where places of a row count, later ones of an equal context are ranges known already (units without a context)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, PIECE_BYTES):
-            raw, at = text_bytes(b.column("text"))
-            _, ua = method.units(raw, at)
+            u = method.units(*text_bytes(b.column("text")))
             asked = b.column("asked")
-            n = np.diff(asked.offsets.to_numpy())
+            n = np.asarray(pc.list_value_length(asked)).astype(np.int64)
             flat = asked.flatten()
-            key, lo, hi = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            key, lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             text = np.repeat(np.arange(len(n)), n)
-            ok = hi <= np.diff(ua)[text]  # false only where one id has several texts
-            key, lo, hi, text = key[ok], lo[ok].astype(np.int64), hi[ok].astype(np.int64), text[ok]
-            x, y = method.cut(raw, at, ua[text] + lo, ua[text] + hi)
-            data = raw[ragged(x, y - x)]
-            for i in range(0, len(key), 4096):  # small batches out
-                s = slice(i, i + 4096)
-                at_s = spans_of((y - x)[s])
-                base = int((y - x)[:i].sum())
-                blob = pa.Array.from_buffers(pa.binary(), len(at_s) - 1, [None, pa.py_buffer(at_s.astype(np.int32).tobytes()), pa.py_buffer(data[base : base + at_s[-1]].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(key[s]), b.column("doc_id").take(pa.array(text[s])), pa.array(lo[s].astype(np.int32)), blob], names=["key", "doc_id", "lo", "context"])
+            x, y = u.first[u.at[text] + lo], u.end[u.at[text] + hi - 1]
+            data, own = u.raw.tobytes(), {}
+            for t, k, a, z, p, q in sorted(zip(text.tolist(), key.tolist(), x.tolist(), y.tolist(), lo.tolist(), hi.tolist())):
+                own.setdefault((t, k, data[a:z]), [q - p]).append(p)
+            rows = []
+            base = [p.as_py() for p in b.column("places")]
+            for (t, k, c), (size, *places) in own.items():
+                if method.other_document:
+                    rows.append((k, t, [p + q for q in base[t] for p in places], c, None))
+                else:
+                    rows.append((k, t, [base[t][0] + places[0]], c, None))
+                    if len(places) > 1:
+                        rows.append((None, t, [base[t][0] + p for p in places[1:]], None, size))
+            for i in range(0, len(rows), 4096):  # small batches out
+                k, t, places, c, size = zip(*rows[i : i + 4096])
+                at = pa.array(t)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k, pa.int64()), b.column("row").take(at), b.column("late").take(at), b.column("ord").take(at), pa.array(places, pa.list_(pa.int32())), pa.array(c, pa.binary()), pa.array(size, pa.int32())],
+                    names=[c.split()[0] for c in CONTEXT.split(", ")],
+                )
 
     return run
 
 
+RANGE = "row long, lo int, hi int"
+
+
+def _ranges(row, lo, hi) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["row", "lo", "hi"])
+
+
 def _comparison(method: Method):
     def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        doc, lo = t.column("doc_id").to_numpy(), t.column("lo").to_numpy().astype(np.int64)
-        row, first = method.compare(t.column("context").to_pylist(), doc, lo)
-        d, x, y = _merged(doc[row], lo[row] + first, lo[row] + first + method.window)
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=["doc_id", "lo", "hi"])
+        t = pa.Table.from_batches(held).combine_chunks()
+        row, places = numbers(t.column("row")), t.column("places").combine_chunks()
+        at = places.offsets.to_numpy().astype(np.int64)
+        flat = places.values.to_numpy().astype(np.int64)
+        found, first = method.compare(t.column("context").to_pylist(), rank_of(numbers(t.column("late")), numbers(t.column("ord"))), row, flat[at[:-1]])
+        many = np.diff(at)[found]
+        lo = flat[ragged(at[:-1][found], many)] + np.repeat(first, many)
+        return _ranges(*_merged(np.repeat(row[found], many), lo, lo + method.window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -247,73 +275,77 @@ def _comparison(method: Method):
     return run
 
 
-def _window_hashes(method: Method):
-    """For keys with very many contexts: a 128-bit hash of every window."""
+def _windows(method: Method):
+    """Contexts of one window each, sorted by key, rank and place. Of each key the distinct windows met so far (one, where no hashes clash) stay at hand, each with the earliest document and the last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1 << 18, "context"):
-            raw, at = text_bytes(b.column("context"))
-            names, ua = method.units(raw, at)
-            count = np.maximum(np.diff(ua) - method.window + 1, 0)
-            start = ragged(ua[:-1], count)
-            text = np.repeat(np.arange(len(count)), count)
-            h1 = Rolling(names).of(start, start + method.window)
-            h2 = Rolling(mix(names)).of(start, start + method.window)
-            place = start - ua[text] + b.column("lo").to_numpy(zero_copy_only=False)[text]
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), b.column("doc_id").take(pa.array(text)), pa.array(place.astype(np.int32))], names=["h1", "h2", "doc_id", "lo"])
+        last, met = None, {}
+        for b in batches:
+            out = []
+            for key, row, late, ord_, places, context in zip(*(b.column(c).to_pylist() for c in ("key", "row", "late", "ord", "places", "context"))):
+                if key != last:
+                    last, met = key, {}
+                first = met.setdefault(context, [late, ord_, None])  # with the last row of this id
+                if (late, ord_) > (first[0], first[1]) or not method.other_document and row == first[2]:
+                    out += [(row, p, p + method.window) for p in places]
+                first[2] = row
+            if out:
+                yield _ranges(*np.array(out, np.int64).T)
 
     return run
 
 
-def recurring(docs: DataFrame, method: Method, hot: int = HOT, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
-    """docs: (doc_id, text), neither null. Two tables of ranges in units by document: (doc_id, known), (doc_id, found), arrays of struct(lo, hi)."""
-    spark = docs.sparkSession
-    bounded_arrow(spark)
-    if method.window - 1 + method.stretch > MOST_UNITS:
-        raise ValueError(f"a context has at most {MOST_UNITS} units")
-    by = F.when(F.col("place").bitwiseAND(F.lit(3)) == SEVERAL, F.xxhash64("key", "ctx")).otherwise(F.col("key"))
-    records = docs.mapInArrow(_records(method, busy), RECORD).repartition(by).sortWithinPartitions("key", "ctx", "doc_id", "place")
-    marks = records.mapInArrow(_marks(method), MARK)
-    pair = F.struct("lo", "hi")
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.when(F.col("known"), pair)).alias("known"), F.collect_list(F.when(~F.col("known"), F.struct("key", "lo", "hi"))).alias("asked"))
+def _pass(docs: DataFrame, method: Method, hot: int, busy: int, deep: bool, done: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs: piece, row, late, ord, base, places, text. Ranges by piece that are known from the piece's own task, and ranges by row: later places of equal contexts, and what comparisons found. done: gathers the tables that are needed no longer than these."""
+    by = F.when(F.col("place").bitwiseAND(F.lit(3)).isin(SEVERAL, KNOWN), F.xxhash64("key", "piece", "place")).otherwise(F.col("key"))
+    records = docs.select("piece", "row", "late", "ord", "base", "text").mapInArrow(_records(method, busy), RECORD)
+    marks = records.repartition(by).sortWithinPartitions("key").mapInArrow(_marks, MARK)
+    marks = marks.groupBy("piece").agg(F.collect_list(F.when(F.col("known"), F.struct("lo", "hi"))).alias("known"), F.collect_list(F.when(~F.col("known"), F.struct("key", "lo", "hi"))).alias("asked"))
     marks = materialize(marks, "marks")
-    release(spark)
 
-    asked = marks.where(F.size("asked") > 0).select("doc_id", "asked")
+    asked = marks.where(F.size("asked") > 0).select("piece", "asked")
+    contexts = docs.select("piece", "row", "late", "ord", "places", "text").join(asked, "piece").mapInArrow(_contexts(method), CONTEXT)
+    contexts = materialize(contexts, "contexts")
+    done += [marks, contexts]
+    later = contexts.where("context is null").select("row", F.explode("places").alias("lo"), "units").select("row", "lo", (F.col("lo") + F.col("units")).alias("hi"))
+    contexts = contexts.where("context is not null").drop("units")
+    if deep:
+        found = contexts.repartition("key").sortWithinPartitions("key", "late", "ord", "row", "places").mapInArrow(_windows(method), RANGE)
+        return marks, later, materialize(found, "found-by-window")
     # how many contexts a key has: few keys have very many
-    crowded = asked.select(F.explode("asked.key").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
-    crowded = materialize(crowded, "crowded")
-    any_crowded = not crowded.isEmpty()
-    contexts = docs.join(asked, "doc_id").mapInArrow(_contexts(method), "key long, doc_id long, lo int, context binary")
-    cold = contexts
-    if any_crowded:
-        contexts = materialize(contexts, "contexts")
-        cold = contexts.join(crowded, "key", "left_anti")
-    found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_comparison(method), "doc_id long, lo int, hi int")
-    if any_crowded:
-        windows = contexts.join(crowded, "key", "left_semi").mapInArrow(_window_hashes(method), "h1 long, h2 long, doc_id long, lo int")
-        windows = materialize(windows.distinct(), "windows")
-        first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
-        later = F.col("doc_id") > F.col("first.doc_id")
-        if not method.other_document:
-            later = later | (F.col("doc_id") == F.col("first.doc_id")) & (F.col("lo") > F.col("first.lo"))
-        found = found.unionByName(windows.join(materialize(first, "firsts"), ["h1", "h2"]).where(later).select("doc_id", "lo", (F.col("lo") + F.lit(method.window)).alias("hi")))
-    found = materialize(found.groupBy("doc_id").agg(F.collect_list(pair).alias("found")), "found")
-    release(spark)
-    return marks.select("doc_id", "known"), found
-
-
-def with_ranges(docs: DataFrame, method: Method, hot: int = HOT, busy: int = BUSY) -> DataFrame:
-    """(doc_id, text, known, found) of every row of docs."""
-    known, found = recurring(docs, method, hot, busy)
-    return docs.join(known, "doc_id", "left").join(found, "doc_id", "left")
+    crowded = materialize(asked.select(F.explode("asked.key").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "crowded")
+    if crowded.isEmpty():
+        found = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_comparison(method), RANGE)
+        return marks, later, materialize(found, "found")
+    crowded = few(crowded)
+    cold = contexts.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_comparison(method), RANGE)
+    found = materialize(cold, "found")
+    # the contexts of hot keys as texts of their own
+    texts = contexts.join(crowded, "key", "left_semi").select(F.monotonically_increasing_id().alias("piece"), "row", "late", "ord", F.element_at("places", 1).alias("base"), "places", F.col("context").alias("text"))
+    texts = materialize(texts, "hot-contexts")
+    done.append(texts)
+    inner, more, deeper = _pass(texts, method.by_window(), hot, busy, True, done)
+    inside = texts.select("piece", "row", "places").join(inner.where(F.size("known") > 0).select("piece", "known"), "piece")
+    inside = inside.select("row", F.explode("places").alias("p"), "known").select("row", "p", F.inline("known")).select("row", (F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi")).alias("hi"))
+    return marks, later, found.unionByName(more).unionByName(deeper).unionByName(inside)
+
+
+def with_ranges(rows: DataFrame, method: Method, hot: int = HOT, busy: int = BUSY) -> tuple[DataFrame, list[DataFrame]]:
+    """rows: (row, late, ord, text, …). Every row with known and found, arrays of struct(lo, hi) in units; and the scratch tables that go once this is written."""
+    if method.window - 1 + method.stretch > MOST_UNITS:
+        raise ValueError(f"a context has at most {MOST_UNITS} units")
+    docs = rows.select(F.col("row").alias("piece"), "row", "late", "ord", F.lit(0).alias("base"), F.array(F.lit(0)).alias("places"), "text")
+    marks, later, found = _pass(docs, method, hot, busy, False, done := [])
+    found = materialize(found.unionByName(later).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "ranges")
+    discard(*done[1:])
+    known = marks.where(F.size("known") > 0).select(F.col("piece").alias("row"), "known")
+    return rows.join(known, "row", "left").join(found, "row", "left"), [rows, marks, found]
 
 
 def covered(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
     """A flag for every unit of a batch of with_ranges."""
     total = int(offsets[-1])
     change = np.zeros(total + 1, np.int64)
-    size = np.diff(offsets)
     for name in ("known", "found"):
         column = batch.column(name)
         if column.null_count == len(column):
@@ -321,7 +353,7 @@ def covered(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
         n = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
         flat = column.flatten()
         text = np.repeat(np.arange(len(n)), n)
-        lo = np.minimum(flat.field(0).to_numpy(zero_copy_only=False), size[text]) + offsets[text]
-        hi = np.minimum(flat.field(1).to_numpy(zero_copy_only=False), size[text]) + offsets[text]
+        lo = flat.field(0).to_numpy(zero_copy_only=False) + offsets[text]
+        hi = flat.field(1).to_numpy(zero_copy_only=False) + offsets[text]
         change += np.bincount(lo, minlength=total + 1) - np.bincount(hi, minlength=total + 1)
     return np.cumsum(change)[:-1] > 0

@@ -6,13 +6,14 @@ name runs and pairs alike in all documents; a window is looked up by its most te
 the words beside it; shared symbols bring contexts together (``repeats``), and there the windows are named
 exactly, by pairs of names of the words themselves.
 
-Null texts have no words. Null ids come last. Repeated rows get equal results and take nothing
-from each other, as their ids are the same. Texts of fewer than 13 words stay whole. Empty tables give no
+Null texts have no words. Null ids come last. Rows of one id, with equal texts or others, take nothing
+from each other, as neither id is smaller. Texts of fewer than 13 words stay whole. Empty tables give no
 rows, texts are never cut, columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -22,22 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import rolling
-from .common import bounded_arrow, keyed, pieces, ragged, real_id, spans_of
+from .common import discard, materialize, ordered, numbered, pieces, ragged, spans_of
 from .recompression import window_keys
-from .repeats import BUSY, HOT, Method, covered, with_ranges
+from .repeats import BUSY, HOT, Method, Units, covered, with_ranges
 
 WINDOW = 13
 MOST = 2
 
 
-def _units(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _units(raw: np.ndarray, at: np.ndarray) -> Units:
+    raw, at = rolling.squeezed(raw, at)  # equal words are equal bytes
     start, end, n = rolling.words(raw, at)
-    return rolling.of_bytes(raw).of(start, end), spans_of(n)
-
-
-def _cut(raw: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start, end, _ = rolling.words(raw, at)
-    return start[lo], end[hi - 1]
+    names = rolling.of_bytes(raw).of(start, end)
+    return Units(raw, functools.cache(lambda: rolling.of_names(names)), spans_of(n), start, end, names)
 
 
 def window_names(names: np.ndarray, window: int) -> np.ndarray:
@@ -63,7 +61,7 @@ def window_names(names: np.ndarray, window: int) -> np.ndarray:
 
 
 def _compare(window: int):
-    def compare(contexts: list[bytes], doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(contexts: list[bytes], rank: np.ndarray, row: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         split = [c.split() for c in contexts]
         n = np.fromiter(map(len, split), np.int64, len(split))
         words = np.empty(int(n.sum()), object)
@@ -73,18 +71,18 @@ def _compare(window: int):
         start = ragged(at[:-1], np.maximum(n - window + 1, 0))
         if not len(start):
             return start, start
-        row = np.searchsorted(at, start, side="right") - 1
+        own = np.searchsorted(at, start, side="right") - 1
         name = window_names(names, window)[start]
         least = np.full(int(name.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, name, doc[row])
-        late = doc[row] > least[name]
-        return row[late], (start - at[row])[late]
+        np.minimum.at(least, name, rank[own])
+        late = rank[own] > least[name]
+        return own[late], (start - at[own])[late]
 
     return compare
 
 
 def method(window: int = WINDOW) -> Method:
-    return Method(window, window, True, _units, lambda names, at: window_keys(names, at, window, MOST), _cut, _compare(window))
+    return Method(window, window, True, _units, lambda u: window_keys(u.names, u.at, window, MOST), _compare(window))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, busy: int = BUSY, with_text: bool = False) -> DataFrame:
@@ -108,7 +106,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = with_ranges(keyed(docs, id_col, text_col), method(window), hot, busy)
-    bounded_arrow(docs.sparkSession)
-    out = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
-    return out.select(real_id(), *out.columns[1:])
+    rows, _ = numbered(ordered(docs, id_col, text_col))
+    rows, scratch = with_ranges(rows, method(window), hot, busy)
+    out = materialize(rows.select("doc_id", "text", "known", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")), "kept-words")
+    discard(*scratch)
+    return out

@@ -7,13 +7,14 @@ suffix, the nearest suffixes before and behind it in suffix order that start ear
 are found (previous and next smaller positions); the longer of the two common prefixes is
 the longest previous factor, and where it is 100 bytes or more, the window is a later copy.
 
-Null texts count as empty, null ids come last. A repeated row (same id and text) is the same
-document: it takes nothing from the other. Texts of fewer than 100 bytes stay whole. Empty tables give no rows.
+Null texts count as empty, null ids come last. Rows of one id, with equal texts or others, take nothing from each
+other. Texts of fewer than 100 bytes stay whole. Empty tables give no rows.
 Texts are never cut. Columns besides id and text are not read. Spans may split a character: they are bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -22,28 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import rolling
-from .common import bounded_arrow, keyed, pieces, ragged, real_id, spans_of, text_bytes
-from .repeats import BUSY, HOT, Method, covered, with_ranges
+from .common import discard, materialize, numbered, ordered, pieces, ragged, spans_of, text_bytes
+from .repeats import BUSY, HOT, Method, Units, covered, with_ranges
 
 WINDOW = 100
 GRAM = 32
 
 
-def _units(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return rolling.BYTE_VALUE[raw], at
+def _units(raw: np.ndarray, at: np.ndarray) -> Units:
+    place = np.arange(len(raw))
+    return Units(raw, functools.cache(lambda: rolling.of_bytes(raw)), at, place, place + 1)
 
 
 def _keys(window: int, gram: int):
-    def keys(names: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def keys(u: Units) -> np.ndarray:
         """The least hash of all grams of the window at each place: the least of two blocks' running minima."""
-        n, width = len(names), window - gram + 1
+        n, width = len(u.raw), window - gram + 1
         out = np.zeros(n, np.uint64)
         m = n - gram + 1
         if m <= 0:
             return out
-        h = rolling.Rolling(names).of(np.arange(m), np.arange(gram, n + 1))
         block = np.full(-(-m // width) * width, ~np.uint64(0))
-        block[:m] = h
+        block[:m] = rolling.grams(u.raw, gram)
         block = block.reshape(-1, width)
         ahead = np.minimum.accumulate(block, axis=1).ravel()
         behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -91,35 +92,42 @@ def previous_smaller(v: np.ndarray) -> np.ndarray:
     return p
 
 
-def later_copies(text: np.ndarray, valid: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
-    """Of the valid places those whose longest previous factor has ``window`` bytes. place: where each byte is in the corpus, as one number."""
-    order, group = ranks(text, valid, window)
+def _factors(order: np.ndarray, group: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of suffixes in order those with a longest previous factor of a whole window: an equal one (same group) at a smaller place is nearest on one side."""
     v = place[order]
     before = previous_smaller(v)
     behind = len(v) - 1 - previous_smaller(v[::-1])[::-1]
-    has_before, has_behind = before >= 0, behind < len(v)
-    factor = has_before & (group[np.maximum(before, 0)] == group)
-    factor |= has_behind & (group[np.minimum(behind, len(v) - 1)] == group)
-    return order[factor]
+    return (before >= 0) & (group[np.maximum(before, 0)] == group) | (behind < len(v)) & (group[np.minimum(behind, len(v) - 1)] == group)
+
+
+def later_copies(text: np.ndarray, valid: np.ndarray, rank: np.ndarray, row: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
+    """Of the valid places those whose longest previous factor has ``window`` bytes. rank, row, place: of each byte's document, and where it is there."""
+    order, group = ranks(text, valid, window)
+    if len(np.unique(rank)) == len(np.unique(row)):
+        return order[_factors(order, group, (rank << 40) + place)]
+    # rows of one id: earlier is what has a smaller rank, or stands before in the same row
+    late = _factors(order, group, rank)
+    by = np.lexsort((row[order], group))
+    own = np.cumsum(np.concatenate(([0], (group[by][1:] != group[by][:-1]) | (row[order][by][1:] != row[order][by][:-1]))))
+    late[by] |= _factors(order[by], own, place)
+    return order[late]
 
 
 def _compare(window: int):
-    def compare(contexts: list[bytes], doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(contexts: list[bytes], rank: np.ndarray, row: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.fromiter(map(len, contexts), np.int64, len(contexts))
         at = spans_of(n)
         text = np.frombuffer(b"".join(contexts), np.uint8)
-        row = np.repeat(np.arange(len(n)), n)
-        number = np.unique(doc, return_inverse=True)[1].astype(np.int64)
-        place = (number[row] << 40) + lo[row] + np.arange(len(text)) - at[row]
+        own = np.repeat(np.arange(len(n)), n)
         valid = ragged(at[:-1], np.maximum(n - window + 1, 0))
-        hit = later_copies(text, valid, place, window) if len(valid) else valid
-        return row[hit], hit - at[row[hit]]
+        hit = later_copies(text, valid, rank[own], row[own], lo[own] + np.arange(len(text)) - at[own], window) if len(valid) else valid
+        return own[hit], hit - at[own[hit]]
 
     return compare
 
 
 def method(window: int = WINDOW, gram: int = GRAM) -> Method:
-    return Method(window, window - gram + 1, False, _units, _keys(window, gram), lambda raw, at, lo, hi: (lo, hi), _compare(window))
+    return Method(window, window - gram + 1, False, _units, _keys(window, gram), _compare(window))
 
 
 def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, busy: int = BUSY, with_bytes: bool = False) -> DataFrame:
@@ -144,7 +152,8 @@ def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_co
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = with_ranges(keyed(docs, id_col, text_col), method(window, gram), hot, busy)
-    bounded_arrow(docs.sparkSession)
-    out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else ""))
-    return out.select(real_id(), *out.columns[1:])
+    rows, _ = numbered(ordered(docs, id_col, text_col))
+    rows, scratch = with_ranges(rows, method(window, gram), hot, busy)
+    out = materialize(rows.select("doc_id", "text", "known", "found").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")), "kept-bytes")
+    discard(*scratch)
+    return out
