@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm import bpe, decontam, exact_dedup, quality, simhash
-from blockloom.llm.common import documents, materialize
+from blockloom.llm.common import discard, documents
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        # every stage returns a table that it has written to the shared folder; the one before is needed no longer
+        docs, before = stage(spark, docs, sf_dir), docs
+        discard(before)
+    return docs
