@@ -53,8 +53,14 @@ def rewind_report(history: DataFrame, headers: DataFrame, height: int) -> DataFr
     return v.join(F.broadcast(h), F.lit(True))  # one row each
 
 
-def upserted(snapshot: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Whole rows replaced by key; fields that a change lacks become null. changes: one row per key."""
+def upserted(snapshot: DataFrame, changes: DataFrame, key: str = "id", order: tuple[str, ...] = ()) -> DataFrame:
+    """Whole rows replaced by key; fields that a change lacks become null. Of several changes to one key the last in ``order`` stays; without an order one of them, the same for the same rows."""
+    rest = [c for c in changes.columns if c != key]
+    last = F.struct(*order) if order else F.xxhash64(*rest) if rest else F.lit(0)
+    if rest:
+        changes = changes.groupBy(key).agg(F.max_by(F.struct(*rest), last).alias("__last")).select(key, *[F.col(f"__last.`{c}`").alias(c) for c in rest])
+    else:
+        changes = changes.distinct()
     changed = changes.select(*[F.col(c) if c in changes.columns else F.lit(None).cast(snapshot.schema[c].dataType).alias(c) for c in snapshot.columns])
     return snapshot.join(changed.select(key), key, "left_anti").unionByName(changed)
 

@@ -1,7 +1,7 @@
 """Entities over the commit store: an append-only log of operations, typed by the project's schema.
 
-Writes are buffered by block and committed with its checkpoint. Reads see the last write of every id; the log keeps
-history, so any height can be read and rewound. Missing fields of a Set are null: a Set replaces the whole entity.
+A ``Block`` buffers its writes and commits them with its header and checkpoint; ``set`` and the other single calls are a commit each.
+Reads see the last write of every id; the log keeps history, so any height can be read and rewound. Missing fields of a Set are null: a Set replaces the whole entity.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..types import FINAL, OPERATION, UNFINALIZED
 from .commit import Store
 
 LOG, HEADERS = "operations", "headers"
-_HEADER = "height long, hash string, parent_hash string, finality string"
+_HEADER = "height long, hash string, parent_hash string, finality string, seq long"
 
 
 def typed(text: Column, field: Field) -> Column:
@@ -76,11 +76,20 @@ class EntityStore:
         self.bulk_create(entity, [data], height)
 
     def bulk_create(self, entity: str, items: list[dict], height: int) -> None:
-        known = {f.name for f in self._entity(entity).fields}
+        block = self.block(height)
         for d in items:
-            if not isinstance(d.get("id"), str) or set(d) - known:
-                raise StoreError(f"{entity}: no id, or unknown fields {sorted(set(d) - known)}")
-        self._write([(height, 0, i, changelog.SET, entity, d["id"], json.dumps(d, sort_keys=True, separators=(",", ":"))) for i, d in enumerate(items)])
+            block.set(entity, d)
+        self._write(block.rows)
+
+    def block(self, height: int) -> Block:
+        """A buffer of one block's writes."""
+        return Block(self, height)
+
+    def checked(self, entity: str, data: dict) -> dict:
+        known = {f.name for f in self._entity(entity).fields}
+        if not isinstance(data.get("id"), str) or set(data) - known:
+            raise StoreError(f"{entity}: no id, or unknown fields {sorted(set(data) - known)}")
+        return data
 
     def remove(self, entity: str, entity_id: str, height: int) -> None:
         self.bulk_remove(entity, [entity_id], height)
@@ -96,10 +105,12 @@ class EntityStore:
         rows = rows.withColumn("__d", F.from_json("data", text))
         return rows.select(*[typed(F.col(f"__d.`{f.name}`"), f).alias(f.column) for f in entity.fields])
 
-    def frame(self, entity: str, height: int | None = None) -> DataFrame:
-        """Current entities, or those as of a height."""
+    def frame(self, entity: str, height: int | None = None, ids: list[str] | None = None) -> DataFrame:
+        """Current entities, or those as of a height; of all ids, or of some: then only these are read from the log."""
         spec = self._entity(entity)
         ops = self.log().where(F.col("entity") == entity)
+        if ids is not None:
+            ops = ops.where(F.col("id").isin(ids))
         rows = changelog.compact(ops) if height is None else changelog.as_of(changelog.versions(ops), height)
         return self._typed(rows, spec)
 
@@ -108,7 +119,7 @@ class EntityStore:
         return changelog.versions(self.log().where(F.col("entity") == entity))
 
     def get(self, entity: str, entity_id: str) -> dict | None:
-        row = entities.get(self.frame(entity), entity_id).first()
+        row = entities.get(self.frame(entity, ids=[entity_id]), entity_id).first()
         return None if row is None else row.asDict()
 
     def get_by_fields(self, entity: str, *conditions: tuple[str, str, object], order_by: str = "id", descending: bool = False, limit: int = entities.LIMIT, offset: int = 0) -> DataFrame:
@@ -142,28 +153,65 @@ class EntityStore:
         return {e.table: sorted((f.name, f.dataType.simpleString()) for f in e.struct()) for e in sorted(self.entities.values(), key=lambda e: e.table)}
 
 
+class Block:
+    """The writes of one block, in order; ``commit`` puts them, its header and the checkpoint in force at once."""
+
+    def __init__(self, entities: EntityStore, height: int):
+        self.entities, self.height, self.rows = entities, height, []
+
+    def set(self, entity: str, data: dict) -> None:
+        data = self.entities.checked(entity, data)
+        self.rows.append((self.height, 0, len(self.rows), changelog.SET, entity, data["id"], json.dumps(data, sort_keys=True, separators=(",", ":"))))
+
+    def remove(self, entity: str, entity_id: str) -> None:
+        self.entities._entity(entity)
+        self.rows.append((self.height, 0, len(self.rows), changelog.REMOVE, entity, entity_id, None))
+
+    def commit(self, header: lineage.Header, finalized: int, finality: str = UNFINALIZED, batch: int | None = None) -> bool:
+        """False if the batch is there already."""
+        if header.height != self.height:
+            raise StoreError(f"header {header.height} is not of block {self.height}")
+        store = self.entities.store
+        rows, checkpoint = CheckpointStore(store).change(header, finalized, finality)
+        changes = {HEADERS: ("append", rows)}
+        if self.rows:
+            changes[LOG] = ("append", store.spark.createDataFrame(self.rows, OPERATION))
+        return store.commit(changes, checkpoint, batch)
+
+
 class CheckpointStore:
-    """Headers with their finality, and the pointer to the last indexed block."""
+    """Headers with their finality, and the pointer to the last indexed block. Headers are appended; the last one of a height counts."""
 
     def __init__(self, store: Store):
         self.store = store
 
-    def headers(self) -> DataFrame:
+    def _all(self) -> DataFrame:
         rows = self.store.table(HEADERS)
         return self.store.spark.createDataFrame([], _HEADER) if rows is None else rows
 
+    @staticmethod
+    def _current(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != "height"]
+        return rows.groupBy("height").agg(F.max_by(F.struct(*rest), "seq").alias("h")).select("height", "h.*")
+
+    def headers(self) -> DataFrame:
+        return self._current(self._all()).drop("seq")
+
     def load(self) -> dict | None:
         return self.store.manifest()["checkpoint"]
 
+    def change(self, header: lineage.Header, finalized: int, finality: str = UNFINALIZED) -> tuple[DataFrame, dict]:
+        """The row that replaces the header at its height, and the new checkpoint; the finalized height never falls."""
+        now = self.store.manifest()
+        row = self.store.spark.createDataFrame([(header.height, header.hash, header.parent_hash, finality, now["version"] + 1)], _HEADER)
+        return row, {"height": header.height, "hash": header.hash, "finalized": max(finalized, (now["checkpoint"] or {}).get("finalized", 0))}
+
     def commit(self, header: lineage.Header, finalized: int, finality: str = UNFINALIZED) -> None:
-        """The header replaces one at its height; the finalized height never falls."""
-        now = self.load() or {}
-        row = self.store.spark.createDataFrame([(header.height, header.hash, header.parent_hash, finality)], _HEADER)
-        new = changelog.upserted(self.headers(), row, "height")
-        self.store.commit({HEADERS: ("replace", new)}, {"height": header.height, "hash": header.hash, "finalized": max(finalized, now.get("finalized", 0))})
+        row, checkpoint = self.change(header, finalized, finality)
+        self.store.commit({HEADERS: ("append", row)}, checkpoint)
 
     def header_at(self, height: int) -> lineage.Header | None:
-        row = self.headers().where(F.col("height") == height).first()
+        row = self._current(self._all().where(F.col("height") == height)).first()
         return None if row is None else lineage.Header(row["height"], row["hash"], row["parent_hash"])
 
     def descending(self, low: int, high: int) -> DataFrame:
@@ -172,10 +220,10 @@ class CheckpointStore:
         return lineage.descending(self.headers().withColumn("finality", known), low, high)
 
     def truncate_above(self, height: int) -> None:
-        self.store.update(HEADERS, lambda h: lineage.truncated_above(h, height))
+        self.store.update(HEADERS, lambda h: self._current(lineage.truncated_above(h, height)))
 
     def prune_below(self, height: int) -> None:
-        self.store.update(HEADERS, lambda h: lineage.pruned_below(h, height))
+        self.store.update(HEADERS, lambda h: lineage.pruned_below(self._current(h), height))
 
 
 class Metadata:
