@@ -39,6 +39,12 @@ def quantity(c: Column) -> Column:
     return F.when(low.rlike(_QUANTITY), F.conv(F.substring(low, 3, 16), 16, 10).try_cast("long"))
 
 
+def unsigned(c: Column) -> Column:
+    """0x and minimal hex of up to 64 bits as decimal(20, 0): the whole range, where a long has but half."""
+    low = F.lower(c)
+    return F.when(low.rlike(_QUANTITY), F.conv(F.substring(low, 3, 16), 16, 10).try_cast("decimal(20,0)"))
+
+
 def fixed(c: Column, size: int) -> Column:
     """Exactly ``size`` bytes of hex as lower-case 0x text; null for anything else."""
     low = F.lower(c)

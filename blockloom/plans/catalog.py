@@ -11,7 +11,8 @@ from ..functions import bignum, hexcols
 from ..functions.keccak import event_topic
 from ..operators import changelog, decode, entities, filters, heightmap, lineage, metadata, ordered, planning
 from ..streaming import handlers
-from .testviews import SQL, Views
+from ..sources import project
+from .testviews import ARRIVALS_SQL, SQL, Views
 
 _queries: dict[str, Callable[[Views], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -131,6 +132,36 @@ query("journal_latest", "SELECT height, hash, parent_hash FROM v_headers ORDER B
 query("fingerprint", "SELECT c_name AS name, sha256(length(c_name)::VARCHAR || ':' || c_name || length(c_mktsegment)::VARCHAR || ':' || c_mktsegment) AS fingerprint FROM customer")(
     lambda v: v.table("customer").select(F.col("c_name").alias("name"), F.sha2(F.concat(F.length("c_name").cast("string"), F.lit(":"), "c_name", F.length("c_mktsegment").cast("string"), F.lit(":"), "c_mktsegment"), 256).alias("fingerprint"))
 )
+def _hex_of(event: DataFrame, long, odd) -> DataFrame:
+    third = F.col("event_id") % 3
+    return event.select("event_id", F.when(third == 0, F.concat(F.lit("0x"), F.md5("props"), long)).when(third == 1, odd).otherwise(F.concat(F.lit("0x"), F.md5("props"), F.lit("a"))).alias("c"))
+
+
+query("hash32", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '0x' || md5(props) || md5(props) WHEN 1 THEN '0x' || md5(props) || md5(event_type) END AS hash FROM events")(
+    lambda v: _hex_of(v.table("events"), F.md5("props"), F.concat(F.lit("0x"), F.upper(F.md5("props")), F.md5("event_type"))).select("event_id", hexcols.hash32(F.col("c")).alias("hash"))
+)
+query("hex_bytes", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '0x' || md5(props) || 'ab' WHEN 1 THEN '0x' END AS data FROM events")(
+    lambda v: _hex_of(v.table("events"), F.lit("AB"), F.lit("0x")).select("event_id", hexcols.data(F.col("c")).alias("data"))
+)
+query("unsigned_quantity", "SELECT event_id, (9223372036854775808::HUGEINT + event_id)::VARCHAR AS quantity FROM events")(
+    lambda v: v.table("events").select("event_id", hexcols.unsigned(F.concat(F.lit("0x8"), F.lpad(F.hex("event_id"), 15, "0"))).cast("string").alias("quantity"))
+)
+query("block_to_header", "SELECT height, hash, parent_hash, floor(epoch(timestamp))::BIGINT AS seconds FROM v_headers")(lambda v: decode.headers(v.raw_blocks).select("height", "hash", "parent_hash", F.unix_seconds("timestamp").alias("seconds")))
+
+
+def _part(x: str) -> str:
+    return f"unhex(lpad(format('{{:x}}', octet_length(encode({x}))), 16, '0')) || encode({x})"
+
+
+@query("project_fingerprint", "SELECT n_name AS name, sha256(" + " || ".join(map(_part, ["'blockloom-project-v1'", """'{"name":"' || n_name || '"}'""", "n_name", "'abi'", "n_regionkey::VARCHAR"])) + ") AS fingerprint FROM nation")
+def _(v):
+    # a project for each nation: manifests are driver-side files, and nations are 25 at any scale
+    own = v.table("nation").select("n_name", F.col("n_regionkey").cast("string").alias("r")).collect()
+    rows = [(n, project.digest(project.fingerprint_parts({"name": n}, n.encode(), [("abi", r.encode())]))) for n, r in own]
+    return v.spark.createDataFrame(rows, "name string, fingerprint string")
+
+
+query("timestamp_text", "SELECT height, strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') AS text FROM v_headers")(lambda v: v.headers.select("height", handlers.rfc3339(F.col("timestamp").cast("timestamp")).alias("text")))
 query("hex_quantity", "SELECT event_id, event_id * 7919 AS quantity, CAST(NULL AS BIGINT) AS padded FROM events")(
     lambda v: v.table("events").select("event_id", hexcols.quantity(F.concat(F.lit("0x"), F.lower(F.hex(F.col("event_id") * 7919)))).alias("quantity"), hexcols.quantity(F.concat(F.lit("0x0"), F.lower(F.hex(F.col("event_id") + 1)))).alias("padded"))
 )
@@ -201,11 +232,14 @@ query("gaps_islands", ", g AS (SELECT height, height - row_number() OVER (ORDER
 query("finalized_running_max", "SELECT height, max((height * 7919) % 1009) OVER (ORDER BY height) AS finalized FROM v_headers")(lambda v: ordered.running_max(v.headers.select("height"), (F.col("height") * 7919) % 1009, "height", "finalized", bucket=64).select("height", "finalized"))
 
 # --- ordered commit
-query("generation_fence", "SELECT arrival_pos, height FROM v_arrivals WHERE generation = 1")(lambda v: ordered.fenced(v.arrivals, 1).select("arrival_pos", "height"))
-query("ordered_commit", ", f AS (SELECT height, min(arrival_pos) AS p FROM v_arrivals WHERE generation = 1 AND height >= 100 GROUP BY height), r AS (SELECT *, height - row_number() OVER (ORDER BY height) AS k, min(height) OVER () AS lo FROM f) SELECT height, max(p) OVER (ORDER BY height) AS released_at FROM r WHERE k = (SELECT k FROM r WHERE height = 100)")(
-    lambda v: ordered.release_order(v.arrivals, 100, 1)
+query("fence_all_arrivals", ARRIVALS_SQL + "SELECT arrival_pos, height FROM every_arrival WHERE generation = 1")(lambda v: ordered.fenced(v.every_arrival, 1).select("arrival_pos", "height"))
+query(
+    "commit_order_of_all",
+    ARRIVALS_SQL + ", f AS (SELECT height, min(arrival_pos) AS p FROM every_arrival WHERE generation = 1 AND height >= 100 GROUP BY height), r AS (SELECT *, height - row_number() OVER (ORDER BY height) AS k FROM f) SELECT height, max(p) OVER (ORDER BY height) AS released_at FROM r WHERE k = (SELECT k FROM r WHERE height = 100)",
+)(lambda v: ordered.release_order(v.every_arrival, 100, 1))
+query("gap_of_all", ARRIVALS_SQL + "SELECT (SELECT gap FROM every_top) AS expected, min(height) AS lowest FROM every_arrival WHERE generation = 1 AND height >= (SELECT gap FROM every_top) HAVING min(height) > (SELECT gap FROM every_top)")(
+    lambda v: ordered.stall_gap(v.every_arrival, v.every_gap, 1)
 )
-query("stall_gap", "SELECT 700::BIGINT AS expected, min(height) AS lowest FROM v_arrivals WHERE generation = 1 AND height >= 700 HAVING min(height) > 700")(lambda v: ordered.stall_gap(v.arrivals, 700, 1))
 
 # --- planning
 _ARGS = [(100, 1000, 10, None), (100, 102, 100, None), (101, 100, 10, None), (100, 100, 10, None), (150, 900, 20, None), (140, 900, 50, None), (290, 305, 100, 300), (300, 305, 100, None), (0, 5, 10, None), (5, 500, 0, None)]
@@ -247,6 +281,9 @@ query("rewind_versions", "SELECT entity, id, data, valid_from, CASE WHEN valid_t
 query("rewind_report", "SELECT (SELECT count(*) FROM v_history WHERE valid_from > 60) AS deleted, (SELECT count(*) FROM v_history WHERE valid_from <= 60 AND valid_to > 60) AS reopened, (SELECT count(*) FROM v_headers WHERE height > 60) AS headers_removed, (SELECT greatest(max(height) - 60, 0) FROM v_headers) AS blocks_discarded")(
     lambda v: changelog.rewind_report(changelog.versions(v.ops), v.headers, 60)
 )
+query("upsert_repeated", "SELECT id, name, nation, cents, segment FROM v_customers WHERE id % 10 <> 3 UNION ALL SELECT id, name || '2', NULL, cents + 2, NULL FROM v_customers WHERE id % 10 = 3")(
+    lambda v: changelog.upserted(v.customers, v.customers.where("id % 10 = 3").select("id", F.explode(F.array(F.lit(2), F.lit(1))).alias("turn"), "name", "cents").select("id", F.concat("name", F.col("turn").cast("string")).alias("name"), (F.col("cents") + F.col("turn")).alias("cents"), "turn"), order=("turn",))
+)
 query("upsert_entities", "SELECT id, name, nation, cents, segment FROM v_customers WHERE id % 10 <> 3 UNION ALL SELECT id, name || '!', NULL, cents + 1, NULL FROM v_customers WHERE id % 10 = 3 UNION ALL SELECT id + 10000000, name || '!', NULL, cents + 1, NULL FROM v_customers WHERE id % 100 = 3")(
     lambda v: changelog.upserted(v.customers, v.customers.where("id % 10 = 3").unionByName(v.customers.where("id % 100 = 3").withColumn("id", F.col("id") + 10000000)).select("id", F.concat("name", F.lit("!")).alias("name"), (F.col("cents") + 1).alias("cents")))
 )

@@ -99,13 +99,24 @@ class Views:
         return self.table("supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") * 3).alias("start"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_suppkey") * 3 + 200).alias("end"), F.when(F.col("s_suppkey") % 3 == 0, "log").when(F.col("s_suppkey") % 3 == 1, "transaction").otherwise("block").alias("kind"))
 
     @cached_property
-    def arrivals(self) -> DataFrame:
-        """Blocks as they come from workers: out of order, some twice, some of an older generation, a gap at 700."""
-        e = self.table("events").where("event_id < 9000")
+    def every_gap(self) -> int:
+        """A height that never comes, 700 below the last event."""
+        return (self.table("events").agg(F.max("event_id")).first()[0] or 0) - 700
+
+    @cached_property
+    def every_arrival(self) -> DataFrame:
+        """Blocks as they come from workers, one for each event: out of order, some of an older generation and, behind all others, once more."""
+        e = self.table("events")
         swapped = F.col("event_id") + F.when(F.col("event_id") % 4 == 0, 3).when(F.col("event_id") % 4 == 3, -3).otherwise(0)
         rows = e.select(F.col("event_id").alias("arrival_pos"), F.when(F.col("event_id") % 17 == 0, 0).otherwise(1).cast("long").alias("generation"), swapped.alias("height"))
-        again = rows.where("arrival_pos % 17 = 0").select((F.col("arrival_pos") + 100000).alias("arrival_pos"), F.lit(1).cast("long").alias("generation"), "height")
-        return rows.unionByName(again).where("height != 700")
+        again = rows.where("arrival_pos % 17 = 0").select((F.col("arrival_pos") + self.every_gap + 701).alias("arrival_pos"), F.lit(1).cast("long").alias("generation"), "height")
+        return rows.unionByName(again).where(F.col("height") != self.every_gap)
+
+    @cached_property
+    def raw_blocks(self) -> DataFrame:
+        """Headers as a node answers them."""
+        number = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+        return self.headers.select(number(F.col("height")).alias("number"), F.upper(F.col("hash")).alias("hash"), F.col("parent_hash").alias("parentHash"), number(F.unix_seconds(F.col("timestamp").cast("timestamp"))).alias("timestamp"))
 
 
 SQL = r"""
@@ -133,10 +144,15 @@ v_heightmap AS (SELECT (n_nationkey * 37)::BIGINT AS start_height, n_name AS val
 v_spans AS (SELECT (r * 150)::BIGINT AS a, (r * 150 + 9)::BIGINT AS b FROM range(5) t(r)),
 v_customers AS (SELECT c_custkey AS id, c_name AS name, nullif(c_nationkey::BIGINT, 3) AS nation, round(c_acctbal * 100)::BIGINT AS cents, c_mktsegment AS segment FROM customer),
 v_sources AS (SELECT s_name AS name, s_suppkey * 3 AS start, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 3 + 200 END AS stop, CASE s_suppkey % 3 WHEN 0 THEN 'log' WHEN 1 THEN 'transaction' ELSE 'block' END AS kind FROM supplier),
-v_first AS (SELECT event_id AS arrival_pos, CASE WHEN event_id % 17 = 0 THEN 0 ELSE 1 END::BIGINT AS generation, event_id + CASE event_id % 4 WHEN 0 THEN 3 WHEN 3 THEN -3 ELSE 0 END AS height FROM events WHERE event_id < 9000),
-v_arrivals AS (SELECT * FROM (SELECT * FROM v_first UNION ALL SELECT arrival_pos + 100000, 1, height FROM v_first WHERE arrival_pos % 17 = 0) WHERE height <> 700),
 v_versions AS (
   SELECT entity, id, op, data, height AS valid_from, lead(height) OVER (PARTITION BY entity, id ORDER BY height) AS valid_to FROM (
     SELECT *, row_number() OVER (PARTITION BY entity, id, height ORDER BY handler_seq DESC, op_seq DESC) AS rn FROM v_ops) WHERE rn = 1),
 v_history AS (SELECT entity, id, data, valid_from, valid_to FROM v_versions WHERE op = 'Set')
 """
+
+#: As every_arrival, for the queries that ask for it.
+ARRIVALS_SQL = r"""
+, every_top AS (SELECT max(event_id) AS top, max(event_id) - 700 AS gap FROM events),
+every_first AS (SELECT event_id AS arrival_pos, CASE WHEN event_id % 17 = 0 THEN 0 ELSE 1 END::BIGINT AS generation, event_id + CASE event_id % 4 WHEN 0 THEN 3 WHEN 3 THEN -3 ELSE 0 END AS height FROM events),
+every_arrival AS (SELECT * FROM (SELECT * FROM every_first UNION ALL SELECT arrival_pos + top + 1, 1, height FROM every_first, every_top WHERE arrival_pos % 17 = 0) WHERE height <> (SELECT gap FROM every_top))
+"""

@@ -94,23 +94,25 @@ def load(directory: str | Path) -> Project:
     return Project(manifest, root, tuple(sdl.parse(read_inside(root, manifest["schema"]["file"]).decode())), fingerprint(manifest, root))
 
 
-def fingerprint(manifest: dict, root: Path) -> str:
-    """SHA-256 over length-prefixed parts: the manifest as canonical JSON, the schema, every asset's name and bytes."""
+def digest(parts: list[bytes]) -> str:
+    """SHA-256 over parts, each behind its length, so that no two lists of parts read alike."""
     h = hashlib.sha256()
-
-    def add(part: bytes) -> None:
+    for part in parts:
         h.update(len(part).to_bytes(8, "big") + part)
-
-    add(_DOMAIN)
-    add(json.dumps(manifest, sort_keys=True, separators=(",", ":"), default=str).encode())
-    add(read_inside(root, manifest["schema"]["file"]))
-    for ds in manifest["dataSources"]:
-        for name, asset in sorted((ds.get("assets") or {}).items()):
-            add(name.encode())
-            add(read_inside(root, asset["file"]))
     return h.hexdigest()
 
 
+def fingerprint_parts(manifest: dict, schema: bytes, assets: list[tuple[str, bytes]]) -> list[bytes]:
+    """The manifest as canonical JSON, the schema, every asset's name and bytes."""
+    canonical = json.dumps(manifest, sort_keys=True, separators=(",", ":"), default=str).encode()
+    return [_DOMAIN, canonical, schema, *[x for name, data in assets for x in (name.encode(), data)]]
+
+
+def fingerprint(manifest: dict, root: Path) -> str:
+    assets = [(name, read_inside(root, asset["file"])) for ds in manifest["dataSources"] for name, asset in sorted((ds.get("assets") or {}).items())]
+    return digest(fingerprint_parts(manifest, read_inside(root, manifest["schema"]["file"]), assets))
+
+
 def _hex(raw: object, size: int, what: str) -> str | None:
     if raw is None:
         return None
@@ -119,21 +121,73 @@ def _hex(raw: object, size: int, what: str) -> str | None:
     return raw.lower()
 
 
-_SIGNATURE = re.compile(r"(?:event|function)?\s*([A-Za-z_$][A-Za-z0-9_$]*)\s*\((.*)\)\s*(?:.*)?", re.S)
+_SIGNATURE = re.compile(r"\s*(?:(?:event|function)\s+)?([A-Za-z_$][A-Za-z0-9_$]*)\s*", re.S)
+_ARRAYS = re.compile(r"(?:\[\d*\])*")
+_PLAIN = re.compile(r"[a-z][A-Za-z0-9]*")
+_BEHIND = re.compile(r"(?:\s|$).*", re.S)
+
+
+def _inside(raw: str, at: int) -> tuple[list[str], int]:
+    """The parameters of the parenthesis at a place, cut at its own commas; and the place behind it."""
+    depth, start, out = 0, at + 1, []
+    for i in range(at, len(raw)):
+        c = raw[i]
+        depth += (c == "(") - (c == ")")
+        if depth == 1 and c == "," or depth == 0:
+            out.append(raw[start:i].strip())
+            start = i + 1
+        if depth == 0:
+            return (out if out != [""] else []), i + 1
+    raise ValueError(raw)
+
+
+def _canonical_type(raw: str) -> str:
+    """A parameter's type: a tuple as its members' types, uint as uint256; its name and ``indexed`` go."""
+    body = re.sub(r"^tuple\s*(?=\()", "", raw)
+    if body.startswith("("):
+        parts, end = _inside(body, 0)
+        arrays = _ARRAYS.match(body, end)
+        kind, end = f"({','.join(map(_canonical_type, parts))})", arrays.end()
+    else:
+        plain = _PLAIN.match(body)
+        if plain is None:
+            raise ValueError(raw)
+        arrays = _ARRAYS.match(body, plain.end())
+        kind, end = {"uint": "uint256", "int": "int256"}.get(plain[0], plain[0]), arrays.end()
+    if not _BEHIND.fullmatch(body[end:]) or not re.fullmatch(r"\s*(?:[A-Za-z_$][A-Za-z0-9_$]*\s*){0,3}", body[end:]):
+        raise ValueError(raw)
+    return kind + arrays[0]
 
 
 def canonical_signature(raw: str) -> str:
-    """Name and parameter types alone: no names, no ``indexed``, uint as uint256."""
-    m = _SIGNATURE.fullmatch(raw.strip())
-    if not m:
-        raise ConfigError(f"invalid signature {raw!r}")
-    inside = m[2].split(")")[0] if "returns" in raw else m[2]
-    types = [p.split()[0] for p in inside.split(",") if p.strip()]
-    full = {"uint": "uint256", "int": "int256"}
-    types = [re.sub(r"^(u?int)(?=$|\[)", lambda x: full[x[1]], t) for t in types]
-    if any(not re.fullmatch(r"[a-z][A-Za-z0-9]*(\[\d*\])*", t) for t in types):
-        raise ConfigError(f"invalid signature {raw!r}")
-    return f"{m[1]}({','.join(types)})"
+    """Name and parameter types alone: no names, no ``indexed``, uint as uint256, tuples as their members."""
+    m = _SIGNATURE.match(raw)
+    try:
+        if not m or raw[m.end() : m.end() + 1] != "(":
+            raise ValueError(raw)
+        parts, _ = _inside(raw, m.end())
+        return f"{m[1]}({','.join(map(_canonical_type, parts))})"
+    except ValueError:
+        raise ConfigError(f"invalid signature {raw!r}") from None
+
+
+def instantiated(manifest: dict, template: str, parameters: dict, created_at: int) -> dict:
+    """The data source that a template gives: its parameters are its options, and it is active from the block that created it."""
+    for t in manifest.get("templates") or []:
+        if t.get("name") == template:
+            return t | {"options": (t.get("options") or {}) | parameters, "startBlock": created_at}
+    raise ConfigError(f"no template {template}")
+
+
+def active_handlers(manifest: dict, dynamic: list[tuple[str, dict, int]] = ()) -> list[Handler]:
+    """Handlers of the manifest's data sources and of those that handlers created: (template, parameters, height), in the order they came, each once."""
+    seen, more = set(), []
+    for template, parameters, height in dynamic:
+        key = template, json.dumps(parameters, sort_keys=True)
+        if key not in seen:
+            seen.add(key)
+            more.append(instantiated(manifest, template, parameters, height))
+    return compile_handlers(manifest | {"dataSources": [*manifest["dataSources"], *more]})
 
 
 def compile_handlers(manifest: dict) -> list[Handler]:

@@ -12,10 +12,10 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import BlockUnavailable, ChainError, DecodeError, RateLimited, RpcFatal, TransportError, WrongNetwork
-from ..operators.planning import next_batch, safe_head
+from ..operators.planning import budget, next_batch, safe_head
 from ..shipping import ship
 from .project import check_endpoint, redact
 
@@ -63,6 +63,8 @@ class Client:
             raise ChainError("no endpoint")
         self.endpoints, self.chain_id = [check_endpoint(e) for e in endpoints], str(chain_id)
         self.timeout, self.attempts, self.confirmations, self.sleep = timeout, attempts, confirmations, sleep
+        #: requests that failed, retried or not
+        self.errors = 0
 
     def _post(self, endpoint: str, method: str, params: list) -> object:
         body = json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params}).encode()
@@ -99,6 +101,7 @@ class Client:
                     raise WrongNetwork(f"{redact(endpoint)} serves {found}, not {self.chain_id}")
                 return self._post(endpoint, method, params)
             except ChainError as e:
+                self.errors += 1
                 if not e.retryable:
                     raise
                 last = e
@@ -119,6 +122,10 @@ class Client:
                 raise
             return max(0, self.latest() - self.confirmations)
 
+    def call_at(self, height: int, to: str, data: str = "0x") -> str:
+        """A contract's answer as of a block: a read, pinned to the height."""
+        return fixed_hex(self.call("eth_call", [{"to": to, "data": data}, hex(height)]), None)
+
     def safe_head(self, unfinalized: bool = False) -> int:
         head = self.latest()
         return head if unfinalized else safe_head(head, self.finalized(), False)
@@ -191,32 +198,54 @@ class BlockReader(DataSourceReader):
         self.options = options
         self.low = int(options.get("startheight", 0))
         self.high = int(options["endheight"]) if "endheight" in options else None
+        self.only: set[int] | None = None
 
     def pushFilters(self, filters):  # noqa: N802
-        """Bounds on height become bounds of the fetch."""
+        """What bounds the height becomes bounds of the fetch; a height that equals or is among some is fetched alone."""
         for f in filters:
-            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("height",):
-                self.low = max(self.low, int(f.value))
-            elif isinstance(f, LessThanOrEqual) and f.attribute == ("height",):
-                self.high = int(f.value) if self.high is None else min(self.high, int(f.value))
-            else:
+            value = getattr(f, "value", None)
+            if getattr(f, "attribute", None) != ("height",) or not isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
                 yield f
+            elif isinstance(f, EqualTo):
+                self._keep({int(value)})
+            elif isinstance(f, In):
+                self._keep({int(v) for v in value if v is not None})
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, int(value) + isinstance(f, GreaterThan))
+            else:
+                last = int(value) - isinstance(f, LessThan)
+                self.high = last if self.high is None else min(self.high, last)
+
+    def _keep(self, heights: set[int]) -> None:
+        self.only = heights if self.only is None else self.only & heights
 
     def partitions(self):
-        high = _client(self.options).safe_head(self.options.get("unfinalized") == "true")
-        if self.high is not None:
-            high = min(high, self.high)
-        return _slices(self.low, high, int(self.options.get("slice", 16))) or [Heights(0, -1)]
+        low, high = self.low, self.high
+        if self.only is not None:
+            low, high = max([low, min(self.only, default=low)]), min(x for x in (high, max(self.only, default=low - 1)) if x is not None)
+        if high is None or low <= high:  # else there is nothing to ask the node for
+            head = _client(self.options).safe_head(self.options.get("unfinalized") == "true")
+            high = head if high is None else min(high, head)
+        size = int(self.options.get("slice", 16))
+        if self.only is None:
+            return _slices(low, high, size) or [Heights(0, -1)]
+        out = []
+        for h in sorted(x for x in self.only if low <= x <= high):
+            if out and out[-1].high == h - 1 and h - out[-1].low < size:
+                out[-1].high = h
+            else:
+                out.append(Heights(h, h))
+        return out or [Heights(0, -1)]
 
     def read(self, partition):
         return _rows(self.options, partition)
 
 
 class BlockStreamReader(DataSourceStreamReader):
-    """Offsets are the next height. A batch is what the planner gives: bypassed spans are skipped, batches bounded."""
+    """Offsets are the next height. A batch is what the planner gives: bypassed spans are skipped, batches bounded by ``batchsize`` and by what ``queuecapacity`` leaves beside blocks that are planned and not yet committed. ``maxinflight`` bounds the slices that are fetched at once."""
 
     def __init__(self, options: dict):
-        self.options, self.seen = options, None
+        self.options, self.seen, self.done = options, None, None
 
     def initialOffset(self):  # noqa: N802
         return {"next": int(self.options.get("startheight", 0))}
@@ -225,7 +254,10 @@ class BlockStreamReader(DataSourceStreamReader):
         o = self.options
         end = int(o["endheight"]) if "endheight" in o else None
         bypass = [tuple(map(int, x.split("-"))) for x in o.get("bypass", "").split(",") if x]
-        return next_batch(cursor, _client(o).safe_head(o.get("unfinalized") == "true"), int(o.get("batchsize", 100)), end, bypass)
+        capacity = int(o.get("queuecapacity", 200))
+        queued = 0 if self.seen is None or self.done is None else max(0, self.seen - self.done)
+        size = min(int(o.get("batchsize", 100)), budget(capacity, capacity, queued, 0))
+        return next_batch(cursor, _client(o).safe_head(o.get("unfinalized") == "true"), size, end, bypass) if size else None
 
     def latestOffset(self):  # noqa: N802
         cursor = self.initialOffset()["next"] if self.seen is None else self.seen
@@ -238,13 +270,17 @@ class BlockStreamReader(DataSourceStreamReader):
         bypass = [tuple(map(int, x.split("-"))) for x in self.options.get("bypass", "").split(",") if x]
         low = start["next"]
         plan = next_batch(low, end["next"] - 1, max(end["next"] - low, 1), None, bypass)
-        return _slices(plan[0], plan[1], int(self.options.get("slice", 16))) if plan else [Heights(0, -1)]
+        if not plan:
+            return [Heights(0, -1)]
+        # no more slices than blocks may be in flight, for each is fetched by one task
+        least = -(-(plan[1] - plan[0] + 1) // int(self.options.get("maxinflight", 8)))
+        return _slices(plan[0], plan[1], max(int(self.options.get("slice", 16)), least))
 
     def read(self, partition):
         return _rows(self.options, partition)
 
     def commit(self, end):
-        pass
+        self.done = end["next"]
 
 
 class BlockSource(DataSource):
