@@ -281,14 +281,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_tokens:
             at = spans_of(n)
             out = np.full(len(flat) + len(n), end_id, np.uint32)
             out[ragged(at[:-1] + np.arange(len(n)), n)] = flat
-            ids.append(b.column("doc_id"))
-            counts.append(n + 1)
-            parts.append(out)
-            size += len(out)
-            if size >= block_tokens:
-                yield flush()
-                block, before = block + 1, before + size
-                ids, counts, parts, size = [], [], [], 0
+            first, end = 0, spans_of(n + 1)
+            while first < len(n):  # documents until the block is full
+                stop = min(len(n), int(np.searchsorted(end, end[first] + block_tokens - size)))
+                ids.append(b.column("doc_id").slice(first, stop - first))
+                counts.append((n + 1)[first:stop])
+                parts.append(out[end[first] : end[stop]])
+                size += int(end[stop] - end[first])
+                first = stop
+                if size >= block_tokens:
+                    yield flush()
+                    block, before = block + 1, before + size
+                    ids, counts, parts, size = [], [], [], 0
         if size:
             yield flush()
 

@@ -1,9 +1,13 @@
+import dataclasses
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from blockloom.llm import recompression, repeats, rolling, substring, suffix_dedup
 from blockloom.llm.common import spans_of
@@ -81,19 +85,90 @@ def test_empty(spark):
     assert suffix_dedup.remove_copies(frame(spark, [])).count() == 0
 
 
-def test_streamed_marks_do_not_depend_on_batches(spark):
+def test_streamed_marks_do_not_depend_on_batches():
     rnd = np.random.default_rng(3)
     n = 900
-    a = np.stack([rnd.integers(0, 60, n), rnd.integers(0, 3, n), rnd.integers(0, 40, n), rnd.integers(0, 50, n)])
-    a = a[:, np.lexsort(a[::-1])]
-    batch = repeats._record_batch(a[0].astype(np.uint64), a[1].astype(np.uint64), a[2], a[3], a[3] + 9, repeats.PLAIN)
-    for m in (substring.method(), suffix_dedup.method()):
-        want = None
-        for size in (n, 1, 2, 7, 50):
-            parts = [batch.slice(i, size) for i in range(0, n, size)]
-            got = sorted(str(r) for b in repeats._marks(m)(iter(parts)) for r in b.to_pylist())
-            want = want or got
-            assert got == want
+    key, piece, lo = np.sort(rnd.integers(0, 400, n)), rnd.integers(0, 40, n), rnd.integers(0, 50, n)
+    plain = repeats._record_batch(key.astype(np.uint64), piece, lo, lo + 9, repeats.PLAIN)
+    sign = repeats._record_batch(np.array([500, 501], np.uint64), np.zeros(2, np.int64), np.zeros(2, np.int64), np.zeros(2, np.int64), repeats.SIGN)
+    tail = repeats._record_batch(np.array([501, 502], np.uint64), np.array([7, 8]), np.array([1, 2]), np.array([9, 9]), repeats.PLAIN)
+    batch = pa.Table.from_batches([plain, sign, tail]).combine_chunks().to_batches()[0]
+    count = {k: int((key == k).sum()) for k in set(key.tolist())}
+    want = sorted([(int(p), int(x), int(x) + 9, int(k)) for k, p, x in zip(key, piece, lo) if count[int(k)] > 1] + [(7, 1, 9, 501)])  # a sign is company, 502 is alone
+    for size in (len(batch), 1, 2, 7, 50):
+        parts = [batch.slice(i, size) for i in range(0, len(batch), size)]
+        got = sorted((r["piece"], r["lo"], r["hi"], r["key"]) for b in repeats._marks(iter(parts)) for r in b.to_pylist())
+        assert got == want
+
+
+class Weak:
+    """Hashes of one bit."""
+
+    def __init__(self, whole):
+        self.whole = whole
+
+    def of(self, a, b):
+        return self.whole.of(a, b) & np.uint64(1)
+
+
+def weakened(method):
+    """The same method with nearly useless hashes: only comparisons can keep it right."""
+
+    def units(raw, at):
+        u = method.units(raw, at)
+        return dataclasses.replace(u, hashes=lambda: Weak(u.hashes()))
+
+    return dataclasses.replace(method, units=units, keys=lambda u: method.keys(u) & np.uint64(15))
+
+
+@pytest.mark.parametrize("hot,busy", [(10**9, 8), (2, 10**9), (2, 1)])
+def test_nothing_is_removed_by_a_hash(spark, monkeypatch, hot, busy):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    rows = odd_documents()
+    for module, run, plain in ((substring, substring.remove_repeats, plain_words), (suffix_dedup, suffix_dedup.remove_copies, plain_bytes)):
+        own = module.method()
+        monkeypatch.setattr(module, "method", lambda *a, own=own: weakened(own))
+        assert {tuple(r) for r in run(frame(spark, rows), hot=hot, busy=busy).collect()} == plain(rows)
+
+
+def thue_morse(n):
+    word = "ab"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def doc(i, t):
+    return (i, t, "en", "s", None, None, "c", None, 1)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_unlike_words_of_one_polynomial_hash(spark, n):
+    x = thue_morse(n)
+    y = x.translate(str.maketrans("ab", "ba"))
+    rows = [doc(1, " ".join([x] * 13)), doc(2, " ".join([y] * 13)), doc(3, " ".join([x] * 14))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 14}
+
+
+def test_one_id_with_two_texts_and_ids_of_any_size(spark):
+    w, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "wz")
+    top, low = (1 << 63) - 1, -(1 << 63)
+    rows = [doc(1, w), doc(2, w), doc(2, z), doc(top, w), doc(top - 1, z + " " + w), doc(low, "x " * 90), doc(None, z), doc(None, w + " new")]
+    words = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.remove_repeats(frame(spark, rows)).collect()), key=str)
+    assert words == sorted([(1, 30, 0), (2, 30, 30), (2, 30, 0), (top, 30, 30), (top - 1, 60, 60), (low, 90, 0), (None, 30, 30), (None, 31, 30)], key=str)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_copies(frame(spark, rows)).collect()), key=str)
+    n, m = len(w), len(z)
+    # the x's repeat within their own text: all but the first two bytes
+    assert got == sorted([(1, n, 0), (2, n, n), (2, m, 0), (top, n, n), (top - 1, n + m + 1, n + m), (low, 180, 178), (None, m, m), (None, n + 4, n)], key=str)
+
+
+def test_rows_of_one_id_keep_their_own_repeats(spark):
+    part = "".join(chr(97 + i * 7 % 26) for i in range(120)) + "0123456789"
+    rows = [doc(5, part + part), doc(5, "~" + part + "!" + part), doc(5, part + part)]
+    got = sorted((r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_copies(frame(spark, rows)).collect())
+    want = sorted((b[1], b[2]) for t in (rows[0], rows[1], rows[2]) for b in plain_bytes([t]))
+    assert got == want and sum(x for _, x in got) > 300
 
 
 @pytest.mark.parametrize("most,rounds", [(1, 1), (2, 2), (3, 3), (5, 4)])
