@@ -8,7 +8,8 @@ same for stretches of neighbouring windows. Then:
    passage sends one record for each piece of a task, not one for each copy.
 2. Records meet by key. Where a key has company, its contexts are asked for. A key that has BUSY contexts within one
    piece would crowd one place (a line common to a third of all documents): its records are dealt
-   by place instead, all ask, and a sign at the key's own place makes the records of other tasks ask too.
+   by place instead, all ask, and a sign at the key's own place makes the records of other tasks ask too. So do keys
+   with a context that may have one window twice (a short period): it needs no company to recur.
 3. Contexts that are asked for are cut from the texts and compared by key, by the method's own means. The contexts of a key that
    over HOT records ask for go through the same steps once more, as texts of their own, with the whole window as the
    key: so a hot key is split by what stands around it.
@@ -48,6 +49,8 @@ class Units:
     first: np.ndarray
     end: np.ndarray
     names: np.ndarray | None = None
+    #: what the keys are the least of, for methods that need it again
+    grams: Callable[[], np.ndarray] | None = None
 
 
 @dataclass(frozen=True)
@@ -63,10 +66,12 @@ class Method:
     keys: Callable
     #: contexts (list of bytes), ranks, rows, places -> (index of each recurring window's context, first unit relative to it)
     compare: Callable
+    #: Units, keys, first and end unit of contexts -> those that may have a window twice; only where earlier places of one document count
+    lone: Callable | None = None
 
     def by_window(self) -> Method:
         """The same comparison with whole windows as keys."""
-        return replace(self, stretch=1, keys=lambda u: u.hashes().of(np.arange(len(u.first)), np.minimum(np.arange(len(u.first)) + self.window, len(u.first))))
+        return replace(self, stretch=1, lone=None, keys=lambda u: u.hashes().of(np.arange(len(u.first)), np.minimum(np.arange(len(u.first)) + self.window, len(u.first))))
 
 
 def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +112,8 @@ def _records(method: Method, busy: int):
             start = ragged(ua[:-1], count)
             if not len(start):
                 continue
-            key = method.keys(u)[start]
+            keys = method.keys(u)
+            key = keys[start]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)))
             first = np.flatnonzero(new)
             size = np.diff(np.concatenate((first, [len(start)])))
@@ -117,6 +123,7 @@ def _records(method: Method, busy: int):
             lo = start[run_first]
             hi = lo + run_size - 1 + method.window
             key = key[run_first]
+            alone = method.lone(u, keys, lo, hi) if method.lone else np.zeros(len(lo), bool)
             with np.errstate(over="ignore"):
                 both = mix(key ^ mix(u.hashes().of(lo, hi)))
             text = np.searchsorted(ua, lo, side="right") - 1
@@ -142,7 +149,8 @@ def _records(method: Method, busy: int):
             piece = numbers(b.column("piece"))[text]
             # keys with many contexts even here: their records are dealt by place, and a sign at the key's place says so
             tops, contexts = np.unique(key[order[head]], return_counts=True)
-            tops = tops[contexts >= busy]
+            # a context with a window twice asks without company, in the same way
+            tops = np.union1d(tops[contexts >= busy], key[alone])
             if len(tops):
                 hot = np.isin(key[o], tops)
                 h, o = o[hot], o[~hot]

@@ -30,31 +30,53 @@ WINDOW = 100
 GRAM = 32
 
 
-def _units(raw: np.ndarray, at: np.ndarray) -> Units:
-    place = np.arange(len(raw))
-    return Units(raw, functools.cache(lambda: rolling.of_bytes(raw)), at, place, place + 1)
+def _units(gram: int):
+    def units(raw: np.ndarray, at: np.ndarray) -> Units:
+        place = np.arange(len(raw))
+        return Units(raw, functools.cache(lambda: rolling.of_bytes(raw)), at, place, place + 1, grams=functools.cache(lambda: rolling.grams(raw, gram)))
+
+    return units
+
+
+def _sliding(x: np.ndarray, width: int, pick: np.ufunc, rest: int) -> np.ndarray:
+    """pick over x[i : i + width] at each place, by two blocks' running values."""
+    n = len(x)
+    block = np.full(-(-n // width) * width, rest, np.uint64)
+    block[:n] = x
+    block = block.reshape(-1, width)
+    ahead = pick.accumulate(block, axis=1).ravel()
+    behind = pick.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(behind[:n], ahead[np.minimum(np.arange(n) + width - 1, len(ahead) - 1)])
 
 
 def _keys(window: int, gram: int):
     def keys(u: Units) -> np.ndarray:
-        """The least hash of all grams of the window at each place: the least of two blocks' running minima."""
-        n, width = len(u.raw), window - gram + 1
-        out = np.zeros(n, np.uint64)
-        m = n - gram + 1
-        if m <= 0:
-            return out
-        block = np.full(-(-m // width) * width, ~np.uint64(0))
-        block[:m] = rolling.grams(u.raw, gram)
-        block = block.reshape(-1, width)
-        ahead = np.minimum.accumulate(block, axis=1).ravel()
-        behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        i = np.arange(m)
-        out[:m] = np.minimum(behind[:m], ahead[np.minimum(i + width - 1, len(ahead) - 1)])
+        """The least hash of all grams of the window at each place."""
+        out = np.zeros(len(u.raw), np.uint64)
+        if len(g := u.grams()):
+            out[: len(g)] = _sliding(g, window - gram + 1, np.minimum, (1 << 64) - 1)
         return out
 
     return keys
 
 
+def _lone(window: int, gram: int):
+    """Contexts that may have one window twice. Two equal windows with one key lie less than a window's grams apart, so their least gram
+    comes twice at that distance; and no other gram between is the least of any window, as that window has one of the two."""
+    width = window - gram + 1
+
+    def lone(u: Units, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        g = u.grams()
+        # no window has a key above its own grams, so the greatest key around a gram is its own where it is the least of one
+        least = np.flatnonzero(_sliding(np.concatenate([np.zeros(width - 1, np.uint64), keys[: len(g)]]), width, np.maximum, 0)[: len(g)] == g)
+        again = np.flatnonzero((g[least[1:]] == g[least[:-1]]) & (least[1:] - least[:-1] < width))
+        first, second = least[again], least[again + 1]
+        i = np.searchsorted(first, lo)
+        return np.concatenate([second, [len(u.raw)]])[i] <= hi - gram
+
+    return lone
+
+
 def ranks(text: np.ndarray, valid: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of the valid places by their first ``window`` bytes, and a class number for equal ones, by prefix doubling. Places are ranked by 8 bytes first."""
     n = len(text)
@@ -127,7 +149,7 @@ def _compare(window: int):
 
 
 def method(window: int = WINDOW, gram: int = GRAM) -> Method:
-    return Method(window, window - gram + 1, False, _units, _keys(window, gram), _compare(window))
+    return Method(window, window - gram + 1, False, _units(gram), _keys(window, gram), _compare(window), _lone(window, gram))
 
 
 def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, busy: int = BUSY, with_bytes: bool = False) -> DataFrame:

@@ -56,6 +56,25 @@ def plain_bytes(rows, window=100):
     return out
 
 
+def test_bytes_that_overlap_their_own_copy(spark):
+    """A passage with a short period repeats itself within one context and may have no other company."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz é"
+    rows = []
+    for i in range(300):
+        period = "".join(rng.choices(letters, k=rng.randint(1, 90)))
+        passage = (period * 200)[: rng.randint(90, 260)]
+        rows.append((i, "".join(rng.choices(letters, k=rng.randint(0, 60))) + passage + "".join(rng.choices(letters, k=rng.randint(0, 60)))))
+    rows += [(300 + i, rows[i][1]) for i in range(0, 300, 50)]
+    want = plain_bytes(rows)
+    for settings in ({}, {"hot": 1, "busy": 1}):
+        got = suffix_dedup.remove_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **settings)
+        assert {tuple(r) for r in got.collect()} == want, settings
+    small = [(d, t[:120]) for d, t in rows]
+    got = suffix_dedup.remove_copies(spark.createDataFrame(small, "doc_id long, text string"), window=20, gram=8)
+    assert {tuple(r) for r in got.collect()} == plain_bytes(small, 20)
+
+
 def test_words_equal_brute_force(spark):
     rows = odd_documents()
     # 2: nearly every key takes the way of hot keys; 1: every record is dealt by context
