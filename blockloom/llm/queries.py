@@ -103,6 +103,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT rid, doc_id, i, b[i:i+{suffix_dedup.WINDOW - 1}] AS s FROM d, unnest(range(1, octet_length(b) - {suffix_dedup.WINDOW - 2})) t(i)),
+others AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+own AS (SELECT rid, s, min(i) AS first FROM win GROUP BY rid, s),
+late AS (SELECT rid, i FROM win JOIN others USING (s) JOIN own USING (rid, s) WHERE doc_id > least OR i > first),
+step AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + {suffix_dedup.WINDOW}, true)::BIGINT AS new FROM late),
+runs AS (SELECT rid, min(i) AS a, max(i) + {suffix_dedup.WINDOW - 1} AS z FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS g FROM step) GROUP BY rid, g),
+gone AS (SELECT rid, sum(z - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid),
+edges AS (SELECT rid, a, z FROM runs UNION ALL SELECT rid, octet_length(b) + 1, NULL FROM d),
+left_over AS (SELECT rid, a, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a) + 1, 1) AS x FROM edges),
+kept AS (SELECT rid, unhex(string_agg(hex(CASE WHEN x < a THEN b[x:a-1] ELSE ''::BLOB END), '' ORDER BY a)) AS k FROM left_over JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(k) AS kept_sha256
+FROM d JOIN kept USING (rid) LEFT JOIN gone USING (rid)
+"""
+
 def _op7_sql() -> str:
     def edge(term: str) -> str:
         return f"(^|[^a-z0-9]){term}($|[^a-z0-9])"
@@ -149,4 +165,4 @@ FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op4_substring_dedup": OP4, "op6_decontamination": OP6, "op7_url_filter": _op7_sql(), "op10_secrets": _op10_sql()}
+    return {"op3_exact_dedup": OP3, "op4_substring_dedup": OP4, "op6_decontamination": OP6, "op7_url_filter": _op7_sql(), "op9_suffix_dedup": OP9, "op10_secrets": _op10_sql()}
